@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import binpack, bpe, gridcluster, mojibake, neighbours
+from quadrille.llm import binpack, bpe, gridcluster, mojibake, multiselect, neighbours, overlap, pairs
 from quadrille.session import cut
-from quadrille.sources.tables import table
+from quadrille.sources.tables import clean_split, table, usable_points
 
 CAPACITY = 2048
+NEAR = 4.4
 
 
 def _tile_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,6 +38,71 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_neighbours(spark, sf).select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
 
+def _cross_split(spark: SparkSession, sf: str) -> DataFrame:
+    points = usable_points(table(spark, sf, "tile_points").select("tile_id", "point_idx", "x", "y"))
+    splits = table(spark, sf, "split_manifest").select("tile_id", clean_split(F.col("split")).alias("split")).where("split in ('train', 'val', 'test')")
+    return overlap.overlaps(points, splits, NEAR, 0.8)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation tiles whose points lie in a training tile."""
+    return _cross_split(spark, sf).select(F.least("eval_tile", "train_tile").alias("tile_a"), F.greatest("eval_tile", "train_tile").alias("tile_b"), "eval_split").distinct()
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping evaluation tiles and overlaps by evaluation split and grid_id, the id within tile_id where the manifest has none."""
+    grids = table(spark, sf, "split_manifest").where("tile_id is not null").groupBy("tile_id").agg(F.min("grid_id").alias("grid_id"))
+    grids = grids.select(F.col("tile_id").alias("eval_tile"), F.coalesce("grid_id", F.regexp_extract("tile_id", r"^([A-Z]\d+[A-Z]\d+)_", 1)).alias("grid_id"))
+    found = _cross_split(spark, sf).join(grids, "eval_tile")
+    return found.groupBy("eval_split", "grid_id").agg(F.count_distinct("eval_tile").alias("n_tiles"), F.count("*").alias("n_overlaps"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defects(table(spark, sf, "eval_records"), table(spark, sf, "task_catalog"))
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How many answers of each field have each kind of defect, by model."""
+    models = table(spark, sf, "eval_records").groupBy("record_id").agg(F.max(F.struct("evaluated_at", "model")).getField("model").alias("model"))
+    return p5_found(spark, sf).join(models, "record_id").groupBy("field", "defect", "model").agg(F.count("*").alias("n"))
+
+
+def _daily(spark: SparkSession, sf: str, name: str, value: str) -> DataFrame:
+    return table(spark, sf, name).select("tile_id", clean_split(F.col("split")).alias("split"), F.col(value).alias("value"), "run_day").distinct()
+
+
+DAILY = (("b3_final_table", "B33_vel_abs_p90_mm_yr"), ("b5_final_table", "B51_seasonality_p90"))
+
+
+def _each_daily(spark: SparkSession, sf: str, f) -> DataFrame:
+    a, b = (f(_daily(spark, sf, name, value)).withColumn("measure", F.lit(value)) for name, value in DAILY)
+    return a.unionByName(b)
+
+
+def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact percentiles per split, and per split and day."""
+
+    def both(rows: DataFrame) -> DataFrame:
+        whole = rows.select("split", F.lit(None).cast("date").alias("run_day"), F.lit("whole").alias("part"), "value")
+        # The whole and the days are sought in the same rounds, as groups of one selection.
+        one = whole.unionByName(rows.where("run_day is not null").select("split", "run_day", F.lit("day").alias("part"), "value"))
+        one = one.withColumn("run_day", F.coalesce(F.col("run_day").cast("string"), F.lit("")))
+        out = multiselect.percentiles(one, ["part", "split", "run_day"], "value")
+        return out.withColumns({"run_day": F.when(F.col("run_day") != "", F.col("run_day")), "value": F.round("value", 6)})
+
+    return _each_daily(spark, sf, both)
+
+
+def p6_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Joinable summaries of each split and day: weighted values."""
+    return _each_daily(spark, sf, lambda rows: multiselect.summaries(rows, ["split", "run_day"], "value"))
+
+
+def p6_whole_from_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles per split from the days' summaries alone."""
+    return _each_daily(spark, sf, lambda rows: multiselect.percentiles(multiselect.summaries(rows, ["split", "run_day"], "value"), ["split"], "v", weight="w"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -60,6 +126,37 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     return _garbled(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p8_ids, p9_containers, p10_found, p10_restored)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_report, p6_percentiles, p6_days, p6_whole_from_days, p8_ids, p9_containers, p10_found, p10_restored)}
+
+_PAIRS = """
+WITH pts AS (SELECT DISTINCT tile_id, point_idx, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM tile_points
+  WHERE x IS NOT NULL AND y IS NOT NULL AND isfinite(x) AND isfinite(y) AND tile_id IS NOT NULL AND point_idx IS NOT NULL),
+s AS (SELECT DISTINCT tile_id, lower(trim(split)) sp FROM split_manifest WHERE lower(trim(split)) IN ('train', 'val', 'test')),
+e AS (SELECT pts.*, CAST(floor(x / 4.4) AS BIGINT) cx, CAST(floor(y / 4.4) AS BIGINT) cy FROM pts WHERE tile_id IN (SELECT tile_id FROM s WHERE sp <> 'train')),
+t AS (SELECT tile_id, x, y, CAST(floor(x / 4.4) AS BIGINT) + i AS cx, CAST(floor(y / 4.4) AS BIGINT) + j AS cy
+  FROM pts, (SELECT unnest([-1, 0, 1]) i), (SELECT unnest([-1, 0, 1]) j) WHERE tile_id IN (SELECT tile_id FROM s WHERE sp = 'train')),
+m AS (SELECT e.tile_id et, t.tile_id tt, count(DISTINCT e.point_idx) k FROM e JOIN t USING (cx, cy)
+  WHERE e.tile_id <> t.tile_id AND (e.x - t.x) * (e.x - t.x) + (e.y - t.y) * (e.y - t.y) <= 4.4 * 4.4 GROUP BY 1, 2),
+n AS (SELECT tile_id, count(*) n FROM pts GROUP BY 1),
+o AS (SELECT m.et, m.tt, s.sp FROM m JOIN n ON n.tile_id = m.et JOIN s ON s.tile_id = m.et WHERE s.sp <> 'train' AND m.k * 10 >= n.n * 8
+  UNION ALL SELECT a.tile_id, a.tile_id, a.sp FROM s a JOIN s b USING (tile_id) WHERE a.sp <> 'train' AND b.sp = 'train')"""
+
+
+def _percentile_sql() -> str:
+    parts = []
+    for name, value in DAILY:
+        rows = f"(SELECT DISTINCT tile_id, nullif(lower(trim(split)), '') split, CAST({value} AS DOUBLE) v, run_day FROM {name})"
+        good = "WHERE split IS NOT NULL AND v IS NOT NULL AND isfinite(v)"
+        for p in multiselect.PERCENTS:
+            common = f"CAST({p} AS DOUBLE) AS percent, round(quantile_cont(v, {p / 100}), 6) AS value, count(*) AS n, '{value}' AS measure FROM {rows} {good}"
+            parts.append(f"SELECT 'whole' AS part, split, CAST(NULL AS VARCHAR) AS run_day, {common} GROUP BY split")
+            parts.append(f"SELECT 'day' AS part, split, CAST(CAST(run_day AS DATE) AS VARCHAR) AS run_day, {common} AND run_day IS NOT NULL GROUP BY split, run_day")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"{_PAIRS} SELECT DISTINCT least(et, tt) AS tile_a, greatest(et, tt) AS tile_b, sp AS eval_split FROM o",
+    "p4_report": f"""{_PAIRS}, g AS (SELECT tile_id, coalesce(min(grid_id), regexp_extract(tile_id, '^([A-Z]\\d+[A-Z]\\d+)_', 1)) grid_id FROM split_manifest WHERE tile_id IS NOT NULL GROUP BY tile_id)
+SELECT sp AS eval_split, grid_id, count(DISTINCT et) AS n_tiles, count(*) AS n_overlaps FROM o JOIN g ON g.tile_id = o.et GROUP BY 1, 2""",
+    "p6_percentiles": _percentile_sql(),
+}
