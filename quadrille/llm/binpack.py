@@ -65,6 +65,18 @@ def pieces(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     return one.withColumn("part", F.explode(F.sequence(F.lit(0), last))).select("key", "size", "part", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("part") * F.lit(capacity)).alias("n"))
 
 
+def _placer(capacity: int, turn: int):
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["order", "key", "size", "part"], kind="stable")
+        sizes = pdf["n"].to_numpy(np.int64)
+        at = sum_of_squares(sizes, capacity)
+        used = np.bincount(at, weights=sizes).astype(np.int64)
+        names = [f"{turn}-{g}-{b}" for g, b in zip(pdf["g"], at)]
+        return pd.DataFrame({"key": list(pdf["key"]), "size": pdf["size"].to_numpy(), "part": pdf["part"].to_numpy(), "n": sizes, "container_id": names, "used": used[at]})
+
+    return place
+
+
 def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", group: int = GROUP) -> DataFrame:
     """(key, part int, n_tokens bigint, container_id string): every item, or part of a large one, in its container."""
     if capacity < 1 or group < 1:
@@ -75,20 +87,11 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     for turn in range(ROUNDS):
         rows = left.count()
         groups = max(1, math.ceil(rows / group))
-
-        def place(pdf: pd.DataFrame, turn: int = turn) -> pd.DataFrame:
-            pdf = pdf.sort_values(["order", "key", "size", "part"], kind="stable")
-            at = sum_of_squares(pdf["n"].to_numpy(np.int64), capacity)
-            used = np.bincount(at, weights=pdf["n"].to_numpy(np.float64)).astype(np.int64)
-            return pd.DataFrame(
-                {"key": list(pdf["key"]), "size": pdf["size"].to_numpy(), "part": pdf["part"].to_numpy(), "n": pdf["n"].to_numpy(), "container_id": [f"{turn}-{g}-{b}" for g, b in zip(pdf["g"], at)], "used": used[at]}
-            )
-
         h = F.xxhash64("key", "size", "part", F.lit(turn))
         # Later rounds see the larger pieces first, which leaves small ones to fill the gaps.
         order = h if turn == 0 else -F.col("n")
         dealt = left.withColumns({"g": F.pmod(h, F.lit(groups)), "order": order})
-        placed = cut(dealt.groupBy("g").applyInPandas(place, schema))
+        placed = cut(dealt.groupBy("g").applyInPandas(_placer(capacity, turn), schema))
         forget(left)
         if turn + 1 == ROUNDS or groups == 1 and turn > 0:
             done.append(placed)
