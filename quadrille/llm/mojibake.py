@@ -45,7 +45,7 @@ OTHER_PAIRS = (("koi8_r", "cp1251"), ("cp1251", "koi8_r"))
 #: one-byte encodings (whose words show no form of their own, so a single misread letter must not do), to leave, to change.
 ENTER, ENTER_PLAIN, LEAVE, CHANGE = -7.5, -16.0, -2.5, -8.0
 #: Rounds of learning; log odds at which a word counts as restored there; weight of the single-character model in the smoothing; words that a worker remembers.
-ROUNDS, MARGIN, SMOOTH, WORDS = 3, 2.0, 2.0, 200_000
+ROUNDS, MARGIN, SMOOTH, WORDS = 2, 2.0, 2.0, 200_000
 _SPACES = re.compile("[ \t\r\n]+")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3}")
 
@@ -158,29 +158,42 @@ class CharModel:
 
 
 class Words(dict):
-    """For each word with characters beyond ASCII: log probability under the clean state and under each pair."""
+    """For each word with characters beyond ASCII: log odds of each pair against the clean state, None where no pair is likelier than clean."""
 
     def __init__(self, model: CharModel):
-        self.model = model
-
-    def __missing__(self, w: str) -> np.ndarray:
-        out = np.full(1 + len(PAIRS), -1e9)
-        out[0] = self.model.word(w)
+        self.model, self.against = model, {}
+
+    def gains(self, words: list[str]) -> np.ndarray | None:
+        """Rows of log odds, or None where no word speaks for any pair."""
+        got = [self[w] for w in words]
+        if all(g is None for g in got):
+            return None
+        none = np.zeros(1 + len(PAIRS))
+        return np.stack([self.against.get(w, none) if g is None else g for w, g in zip(words, got)])
+
+    def __missing__(self, w: str) -> np.ndarray | None:
+        clean, out = self.model.word(w), None
         for k, p in enumerate(PAIRS, 1):
             if (r := p.restore(w)) is not None:
-                out[k] = self.model.word(r)
-        # A word that a pair would have left alone is as likely under it as it is clean.
-        out[out == -1e9] = out[0]
+                # A word that a pair would have left alone is as likely under it as it is clean: log odds of 0.
+                if (gain := self.model.word(r) - clean) != 0:
+                    if out is None:
+                        out = np.zeros(1 + len(PAIRS))
+                    out[k] = gain
+        if out is not None and out.max() <= 0:
+            # Only pairs that the word speaks against; they matter beside words that speak for them.
+            self.against[w] = out
+            out = None
         if len(self) >= WORDS:
             self.clear()
+            self.against.clear()
         self[w] = out
         return out
 
 
-def path(scores: np.ndarray) -> np.ndarray:
+def path(gain: np.ndarray) -> np.ndarray:
     """The most likely state of each word."""
-    n, k = scores.shape
-    gain = scores - scores[:, :1]
+    n, k = gain.shape
     if (np.maximum(gain, 0).sum(0) + _START <= 0).all():
         return np.zeros(n, np.int64)
     best, back = _START + gain[0], np.empty((n, k), np.int64)
@@ -204,8 +217,8 @@ def repair(text: str, words: Words) -> tuple[str, list[str]]:
     found = wide_words(text)
     if not found:
         return text, []
-    states = path(np.stack([words[w] for w in found]))
-    if not states.any():
+    gain = words.gains(found)
+    if gain is None or not (states := path(gain)).any():
         return text, []
     out, at, undone = [], 0, []
     for w, s in zip(found, states):
@@ -249,8 +262,9 @@ def likeliest(w: str, turn: int, words: Words | None, plain: frozenset[str]) ->
     if turn <= 0:
         restored = [r for p in PAIRS[:N_UTF8] if (r := p.restore(w)) is not None]
         return None if restored and (turn < 0 or any(plain.issuperset(r) for r in restored)) else w
-    k = int(words[w].argmax())
-    return (PAIRS[k - 1].restore(w) or w) if words[w][k] > words[w][0] + MARGIN else w
+    if (gain := words[w]) is None or gain.max() <= MARGIN:
+        return w
+    return PAIRS[int(gain.argmax()) - 1].restore(w) or w
 
 
 def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> dict[str, float]:
