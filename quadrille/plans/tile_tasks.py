@@ -12,7 +12,7 @@ from quadrille.sources.tables import finite, nan_to_null, table
 STATICS = ("height", "rmse", "mean_velocity", "mean_velocity_std", "acceleration", "acceleration_std", "seasonality", "seasonality_std")
 #: Class borders and names of the targets (fixed values).
 MEAN_BANDS = ((-1.47, -1.215, -0.971, -0.657), ("high", "high_mid", "mid", "low_mid", "low"))
-SIGNIFICANCE = ((1.5, 1.9, 2.24, 2.9), ("low", "moderate", "elevated", "high", "very_high"))
+SIGNIFICANCE = ((1.5, 1.9, 2.24, 2.9), ("very_low", "low", "moderate", "high", "very_high"))
 TYPICAL_VELOCITY = ((1.367, 2.075, 3.149, 4.781), ("low", "typ_low", "typ_high", "high", "extreme"))
 TYPICAL_ACCELERATION = ((0.491, 0.697, 0.989, 1.404), ("low", "typ_low", "typ_high", "high", "extreme"))
 NOISE = ((1.0, 1.5, 2.0), ("low_noise", "moderate_noise", "high_noise", "very_high_noise"))
@@ -263,7 +263,7 @@ def d2_phase(spark: SparkSession, sf: str, fewest: int = 3) -> DataFrame:
     # The middle of the axis, in days of its year, turns the phase into a day.
     middle = ((FIRST_INDEX + (EPOCHS - 1) / 2) * STEP_DAYS) % 365.25
     day = F.pmod(F.atan2("b", "a") / (2 * F.pi()) * 365.25 + middle, F.lit(365.25))
-    season = F.when((day < 59) | (day >= 334), "winter").when(day < 151, "spring").when(day < 243, "summer").otherwise("autumn")
+    season = F.when((day < 59) | (day >= 334), "winter_peak").when(day < 151, "spring_peak").when(day < 243, "summer_peak").otherwise("autumn_peak")
     ok = lambda c: F.when(F.col("n") >= fewest, c)
     return g.select("tile_id", "split", F.round(ok(r), 6).alias("d22_coherence"), F.round(ok(days), 4).alias("d23_dispersion_days"), F.when(ok(r) >= 0.2, season).otherwise("no_clear_seasonal_peak").alias("d21_season"))
 
@@ -421,7 +421,7 @@ SELECT step, round(y, 6) AS year, strftime(make_date(CAST(floor(y) AS BIGINT), 1
     "d2_phase": f"""WITH {_AXIS}, {_phasor_sql("z", "TRUE")}, q AS (SELECT tile_id, max(split) split, count(*) n, sum(a) a, sum(b) b, sqrt(sum(a) * sum(a) + sum(b) * sum(b)) / (sum(sqrt(a * a + b * b)) + 1e-9) r FROM z GROUP BY 1),
 d AS (SELECT *, (atan2(b, a) / (2 * pi()) * 365.25 + {((FIRST_INDEX + (EPOCHS - 1) / 2) * STEP_DAYS) % 365.25} + 365.25) % 365.25 dy FROM q)
 SELECT tile_id, split, CASE WHEN n >= 3 THEN round(r, 6) END d22_coherence, CASE WHEN n >= 3 THEN round(sqrt(-2 * ln(least(greatest(r, 1e-9), 1.0))) / (2 * pi()) * 365.25, 4) END d23_dispersion_days,
-CASE WHEN n >= 3 AND r >= 0.2 THEN CASE WHEN dy < 59 OR dy >= 334 THEN 'winter' WHEN dy < 151 THEN 'spring' WHEN dy < 243 THEN 'summer' ELSE 'autumn' END ELSE 'no_clear_seasonal_peak' END d21_season FROM d""",
+CASE WHEN n >= 3 AND r >= 0.2 THEN CASE WHEN dy < 59 OR dy >= 334 THEN 'winter_peak' WHEN dy < 151 THEN 'spring_peak' WHEN dy < 243 THEN 'summer_peak' ELSE 'autumn_peak' END ELSE 'no_clear_seasonal_peak' END d21_season FROM d""",
     "d2_amplitude_change": f"""WITH {_AXIS}, {_phasor_sql("y", "step < 147")}, {_phasor_sql("z", "step >= 147")}
 SELECT y.tile_id, max(y.split) split, round(quantile_cont(round(sqrt(z.a * z.a + z.b * z.b) - sqrt(y.a * y.a + y.b * y.b), 9), 0.5), 6) d24_change FROM y JOIN z ON y.tile_id = z.tile_id AND y.point_idx = z.point_idx GROUP BY 1""",
     "s1_anchor": f"""WITH {_vectors_sql("token_idx = 0")}, d AS (SELECT v.tile_id, a.reference_anchor_id k, a.anchor_profile f, 1 - list_cosine_similarity(v.vec, CAST(a.vec AS DOUBLE[])) d FROM v, anchor_profiles a),
