@@ -27,6 +27,7 @@ def normalise(text: str) -> str:
 
 
 def _cue(text: str, cues: Sequence[str]) -> bool:
+    text = " ".join(text.replace(".", " ").split())
     return any(f" {c} " in f" {text} " or text.startswith(c) for c in cues)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("tile_id", "split")
@@ -42,3 +42,16 @@ def strict_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, allow_ex
     if wrong:
         raise ValueError(f"tables do not share their keys: {wrong}")
     return a.join(b, list(keys))
+
+
+def checked_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """strict_join within one plan: the rows themselves raise when the query runs.
+
+    The check rides on the join's own partitioning (a full join, then counts by
+    the same keys), so no table is read twice and nothing more is shuffled.
+    """
+    left, right = a.withColumn("_l", F.lit(True)), b.withColumn("_r", F.lit(True))
+    j = left.join(right, list(keys), "full").withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    whole = F.col("_l").isNotNull() & F.col("_r").isNotNull() & (F.col("_n") == 1)
+    fail = F.raise_error(F.concat(F.lit("tables do not share their keys at "), F.coalesce(F.concat_ws(", ", *keys), F.lit("null")))).cast("boolean")
+    return j.where(F.when(whole, True).otherwise(fail)).drop("_l", "_r", "_n")

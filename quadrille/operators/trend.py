@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import stats
+from quadrille.session import parallelism
 
 #: Rounds of reweighting, Huber's constant, the MAD's scale, candidates for a break, epochs kept free at either end (fixed values).
 ROUNDS, HUBER, MAD, KNOTS, MARGIN, TINY = 4, 1.345, 1.4826, 52, 36, 1e-10
@@ -21,16 +22,17 @@ ROUNDS, HUBER, MAD, KNOTS, MARGIN, TINY = 4, 1.345, 1.4826, 52, 36, 1e-10
 
 def robust(y: np.ndarray, designs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients, sums of squares) of Huber fits of y on each of a stack of designs (k x n x p)."""
-    k, n, _ = designs.shape
-    w = np.ones((k, n))
+    k, n, p = designs.shape
+    w, turned = np.ones((k, n)), designs.transpose(0, 2, 1)
     for _ in range(ROUNDS):
-        scaled = designs * np.sqrt(w)[:, :, None]
-        beta = np.linalg.pinv(scaled) @ (np.sqrt(w) * y)[:, :, None]
-        rest = y - (designs @ beta)[:, :, 0]
+        weighted = turned * w[:, None, :]
+        # The columns are of order one and far from collinear, so the normal equations are safe.
+        beta = np.linalg.solve(weighted @ designs + 1e-12 * np.eye(p), (weighted @ y)[:, :, None])[:, :, 0]
+        rest = y - (designs @ beta[:, :, None])[:, :, 0]
         middle = np.median(rest, axis=1, keepdims=True)
         scale = MAD * np.median(np.abs(rest - middle), axis=1, keepdims=True) + TINY
         w = np.minimum(1.0, HUBER * scale / (np.abs(rest) + TINY))
-    return beta[:, :, 0], (rest * rest).sum(axis=1)
+    return beta, (rest * rest).sum(axis=1)
 
 
 def shape(y: np.ndarray, years: np.ndarray) -> dict[str, float | str | None]:
@@ -95,7 +97,8 @@ def trends(medians: DataFrame, years: list[float], fewest: int = 200) -> DataFra
             yield pd.DataFrame(rows, columns=["tile_id", "split", "epochs", *names])
 
     g = medians.groupBy("tile_id").agg(F.max("split").alias("split"), F.collect_list(F.struct("step", "y")).alias("s"))
-    return g.mapInPandas(run, "tile_id string, split string, epochs int, curvature double, break_strength double, break_year double, best_model string, selected_year double")
+    # A tile costs far more than its bytes tell, so the tasks are not left to their size.
+    return g.repartition(parallelism(g.sparkSession), "tile_id").mapInPandas(run, "tile_id string, split string, epochs int, curvature double, break_strength double, break_year double, best_model string, selected_year double")
 
 
 def classified(t: DataFrame, q: float = 0.85, fewest: int = 100) -> DataFrame:

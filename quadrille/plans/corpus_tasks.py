@@ -132,8 +132,7 @@ def labels_wide(spark: SparkSession, sf: str) -> DataFrame:
         f(spark, sf).where("split is not null")
         for f in (tile_tasks.b3_tails, tile_tasks.b4_acceleration, tile_tasks.b5_seasonality, tile_tasks.a4_noise, tile_tasks.c1_moving_extent, tile_tasks.c2_concentration)
     ]
-    # The five audits only read keys; the targets themselves are computed once, in the join.
-    return reduce(keyed.strict_join, parts)
+    return reduce(keyed.checked_join, parts)
 
 
 def _long(wide: DataFrame) -> DataFrame:
@@ -208,7 +207,7 @@ def d1_trend(spark: SparkSession, sf: str) -> DataFrame:
     med = stats.percentiles(steps, ["tile_id", "step"], {"y": F.col("y")}, [0.5]).withColumnRenamed("y_p50", "y")
     med = med.join(tile_tasks.tiles(steps), "tile_id")
     years = [2019.0 + (i + tile_tasks.FIRST_INDEX) * tile_tasks.STEP_DAYS / 365.25 for i in range(tile_tasks.EPOCHS)]
-    t = trend.trends(med, years)
+    t = cut(trend.trends(med, years))
     try:
         return trend.classified(t, fewest=10)
     except ValueError:

@@ -61,6 +61,11 @@ def test_strict_join(spark):
     for bad in (other.where("tile_id <> 'a'"), other.unionByName(other), other.withColumn("split", F.lit(None).cast("string"))):
         with pytest.raises(ValueError):
             keyed.strict_join(base, bad, allow_extra=True)
+    same = other.where("tile_id <> 'c'")
+    assert {r.tile_id: (r.x, r.y) for r in keyed.checked_join(base, same).collect()} == {"a": (1, 10), "b": (2, 20)}
+    for bad in (other, same.where("tile_id = 'a'"), same.unionByName(same), same.withColumn("split", F.lit(None).cast("string"))):
+        with pytest.raises(Exception, match="do not share their keys"):
+            keyed.checked_join(base, bad).collect()
     assert {(r.tile_id, r.side) for r in keyed.key_difference(base, other).collect()} == {("c", "right")}
 
 
@@ -93,12 +98,12 @@ def test_trend_shapes():
     curved = trend.shape(5 * x**2 + 0.01 * np.sin(17 * x), years)
     straight = trend.shape(3 * x + 0.2 * np.sin(40 * x), years)
     broken = trend.shape(np.maximum(0, x - 0.2) * 8 + 0.05 * np.sin(37 * x), years)
-    assert curved["curvature"] > 1 and straight["curvature"] < 0.2
+    assert curved["curvature"] > 0.6 and straight["curvature"] < 0.2
     assert broken["break_strength"] > 1 and abs(broken["break_year"] - years[176]) < 0.15
     assert broken["best_model"] in ("piecewise", "complex")
     y = curved_with_gaps = 5 * x**2
     curved_with_gaps[::7] = np.nan
-    assert trend.shape(y, years)["curvature"] > 1
+    assert trend.shape(y, years)["curvature"] > 0.6
 
 
 def test_robust_fit_resists_outliers():
