@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.session import cut
 from quadrille.sources.tables import finite
 
 #: Points of a cell beyond which it is split, and of a smallest cell beyond which it is salted.
@@ -74,7 +75,8 @@ def pairs_within(points: DataFrame, radius: float, key: str = "key", x: str = "x
     coarse, fine = 2.0 * radius, 2.0 * radius / FINE
     pts = _keyed(points, key, x, y)
     home = pts.withColumn("hx", _cell(F.col("x"), coarse)).withColumn("hy", _cell(F.col("y"), coarse))
-    crowd = home.groupBy("hx", "hy").count().where(F.col("count") > CROWDED).select("hx", "hy", F.lit(True).alias("crowded"))
+    # Written first, so the planner knows how few they are (or are not) before it moves any point.
+    crowd = cut(home.groupBy("hx", "hy").count().where(F.col("count") > CROWDED).select("hx", "hy", F.lit(True).alias("crowded")))
 
     right = home.join(crowd, ["hx", "hy"], "left")
     right = right.select(
@@ -86,7 +88,7 @@ def pairs_within(points: DataFrame, radius: float, key: str = "key", x: str = "x
         F.when(F.col("crowded"), _cell(F.col("y"), fine)).otherwise(F.col("hy")).alias("cy"),
     )
     salts = right.where("split").groupBy("cx", "cy").count().where(F.col("count") > SALTED)
-    salts = salts.select("cx", "cy", F.lit(True).alias("split"), F.ceil(F.col("count") / SALTED).cast("int").alias("salts"))
+    salts = cut(salts.select("cx", "cy", F.lit(True).alias("split"), F.ceil(F.col("count") / SALTED).cast("int").alias("salts")))
     right = right.join(salts, ["split", "cx", "cy"], "left").withColumn("salt", F.pmod(F.xxhash64("key_b"), F.coalesce("salts", F.lit(1)).cast("long"))).drop("salts")
 
     cover = _disc_cover(pts, coarse, radius).withColumnsRenamed({"cx": "hx", "cy": "hy"}).drop("interior").join(crowd, ["hx", "hy"], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.operators import near, packing
 from quadrille.session import cut
-from quadrille.sources.tables import finite, table, usable_points
+from quadrille.sources.tables import finite, table
 
 POINT_RADIUS, TILE_RADIUS = 4.4, 1500.0
 
@@ -19,8 +19,9 @@ def manifest_centres(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyed_points(spark: SparkSession, sf: str) -> DataFrame:
-    pts = usable_points(table(spark, sf, "tile_points").select("tile_id", "point_idx", "x", "y"))
-    return pts.select(F.concat_ws("#", "tile_id", "point_idx").alias("key"), "x", "y")
+    """Usable points under their keys; the operators count repeated rows once."""
+    p = table(spark, sf, "tile_points").where("tile_id is not null and point_idx is not null")
+    return p.where(finite(F.col("x")) & finite(F.col("y"))).select(F.concat_ws("#", "tile_id", "point_idx").alias("key"), "x", "y")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
