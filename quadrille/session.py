@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,20 @@ def forget(df: DataFrame) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Tasks that the cluster runs at once, at least the shuffle width the session asks for."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once in a session, wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quadrille_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    made = os.path.join(tempfile.mkdtemp(prefix="quadrille-"), "quadrille.zip")
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("quadrille", os.path.relpath(path, root)))
+    sc.addPyFile(made)
+    sc._quadrille_shipped = True
