@@ -34,6 +34,15 @@ def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(tokens, F.concat_ws(":", "tile_id", "token_idx"), F.col("tile_id"), F.col("vec"), F.col("ingested_at"), 3, 0.90)
 
 
+def p3_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy search of the graph: every usable vector whose hashed key is divisible by 100 against all others."""
+    tokens = table(spark, sf, "egms_tokens").where("valid")
+    nodes = gridcluster.unit_rows(tokens.select(F.concat_ws(":", "tile_id", "token_idx").alias("key"), "vec", "ingested_at"), "key", "vec", "ingested_at")
+    nodes = cut(nodes.select("key", F.substring_index("key", ":", 1).alias("grp"), "vec"))
+    graph = cut(neighbours.nearest(nodes, F.col("key"), F.col("grp"), F.col("vec"), F.lit(None), 10, 0.90))
+    return neighbours.search(nodes.where(F.pmod(F.xxhash64("key"), F.lit(100)) == 0), nodes, graph, 3, 0.90)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_neighbours(spark, sf).select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
 
@@ -126,7 +135,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     return _garbled(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_report, p6_percentiles, p6_days, p6_whole_from_days, p8_ids, p9_containers, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p3_search, p4_found, p4_report, p5_found, p5_report, p6_percentiles, p6_days, p6_whole_from_days, p8_ids, p9_containers, p10_found, p10_restored)}
 
 _PAIRS = """
 WITH pts AS (SELECT DISTINCT tile_id, point_idx, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM tile_points
