@@ -37,7 +37,7 @@ from quadrille.session import cut, forget
 
 LOST = "�"
 #: The encodings (fixed values): what text was written in, and what it was read as.
-UTF8_READ_AS = ("western", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859_2")
+UTF8_READ_AS = ("western", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859_2", "iso8859_15", "cp1254")
 READ_AS_WESTERN = ("koi8_r", "cp1251", "cp1253", "cp1250", "iso8859_2", "mac_roman", "cp437", "cp850")
 WESTERN_READ_AS = ("mac_roman", "cp437", "cp850", "cp1251", "cp1250", "cp1253", "koi8_r")
 OTHER_PAIRS = (("koi8_r", "cp1251"), ("cp1251", "koi8_r"))
@@ -76,12 +76,16 @@ class Pair:
     def __init__(self, written: str, read: str, times: int = 1):
         self.name, self.written, self.times = f"{written}>{read}" + f"x{times}" * (times > 1), written, times
         self.back = _bytes_of(read)
+        group = lambda low, high: "[" + "".join(re.escape(c) for c, b in self.back.items() if low <= b <= high) + "]"
+        self.form = re.compile(group(0xC2, 0xF4) + group(0x80, 0xBF))
         if written != "utf_8":
             chars = _chars(written)
             self.table = {ord(c): chars[b] for c, b in self.back.items() if chars[b] != c}
 
     def _utf8_once(self, s: str) -> str:
         """Runs of characters that are the bytes of one UTF-8 character become it; all else stays."""
+        if self.form.search(s) is None:
+            return s
         out, run = [], bytearray()
         held: list[str] = []
 
