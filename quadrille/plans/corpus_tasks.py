@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -270,6 +271,18 @@ def eval_numeric_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(_numeric(spark, sf), ["task"])
 
 
+def eval_value_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of numeric answers within half a unit of the last rendered decimal."""
+    text = F.regexp_replace(F.coalesce("llm_output", F.lit("")), r"(\d),(\d)", "$1.$2")
+    unit, plain = F.regexp_extract(text, r"(-?\d+(?:\.\d+)?) ?(?:mm|days)", 1), F.regexp_extract(text, r"(-?\d+(?:\.\d+)?)", 1)
+    decimals = F.length(F.regexp_extract("rendered_target_value", r"\.(\d+)$", 1))
+    r = _records(spark, sf).where("answer_type = 'numeric'").select(
+        "task", F.col("rendered_target_value").try_cast("double").alias("gold"), F.coalesce(F.nullif(unit, F.lit("")), F.nullif(plain, F.lit(""))).try_cast("double").alias("pred"), (0.5 * F.pow(F.lit(10.0), -decimals)).alias("tol")
+    )
+    ok = F.coalesce(F.abs(F.col("pred") - F.col("gold")) <= F.col("tol") + 1e-9, F.lit(False))
+    return r.where("gold is not null").groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg(ok.cast("int")), 6).alias("value_accuracy"), F.round(F.avg(F.col("pred").isNotNull().cast("int")), 6).alias("coverage"))
+
+
 def eval_report_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """Mean absolute error of every task, a column for each model."""
     models = [r[0] for r in table(spark, sf, "eval_records").where("model is not null").select("model").distinct().orderBy("model").limit(64).collect()]
@@ -332,6 +345,47 @@ def sample_balanced(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.balanced(r, ["task"], "rendered_target_value", ["record_id"], 40, 1).select("task", "rendered_target_value", "record_id")
 
 
+def question_sample_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions meant to be declined, for at most 30 tiles of each task."""
+    q = question_rows(spark, sf).where("task_id like 'X%'")
+    return sampling.per_group(q, ["task_id"], ["tile_id"], 30, 5).select("task_id", "tile_id", "question")
+
+
+def epoch_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of each split in the order of an epoch, eight to a batch."""
+    t = tile_tasks.tiles(table(spark, sf, "tile_points").where("tile_id is not null")).where("split is not null")
+    place = F.row_number().over(Window.partitionBy("split").orderBy(sampling.order("split", "tile_id", seed=2), "tile_id"))
+    return t.withColumn("place", place).select("split", "tile_id", F.floor((F.col("place") - 1) / 8).cast("int").alias("batch"))
+
+
+def s14_status(spark: SparkSession, sf: str, most: int = 4) -> DataFrame:
+    """Mixture of distance and margin to the nearest anchor, its size chosen by BIC on the training tiles; the far and the undecided component get names."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    split = tile_tasks.tiles(table(spark, sf, "tile_points").where("tile_id is not null"))
+    s = cut(tile_tasks.s1_anchor(spark, sf).join(split, "tile_id").select("tile_id", "split", "s12_distance", "s13_margin").where("s12_distance is not null and s13_margin is not null"))
+    raw = VectorAssembler(inputCols=["s12_distance", "s13_margin"], outputCol="raw").transform(s)
+    train = raw.where("split = 'train'")
+    n = train.count()
+    if n < 10:
+        return s.select("tile_id", "split", F.lit(None).cast("string").alias("s14_status"))
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
+    space, fit, best = scaler.transform(raw), cut(scaler.transform(train).select("features")), None
+    for k in range(2, most + 1):
+        for seed in (1, 2):
+            m = GaussianMixture(k=k, seed=seed, maxIter=60).fit(fit)
+            # Six free numbers a component (mean, covariance, weight), less one for the weights' sum.
+            bic = -2 * m.summary.logLikelihood + (6 * k - 1) * math.log(n)
+            if best is None or bic < best[0]:
+                best = (bic, m)
+    got = best[1].transform(space).select("tile_id", "split", "s12_distance", "s13_margin", F.col("prediction").alias("component"))
+    means = got.where("split = 'train'").groupBy("component").agg(F.avg("s12_distance").alias("d"), F.avg("s13_margin").alias("g")).collect()
+    far, undecided = max(means, key=lambda r: r["d"])["component"], min(means, key=lambda r: r["g"])["component"]
+    status = F.when(F.col("component").isin(far, undecided), "far_or_ambiguous").when(F.col("component") == max(means, key=lambda r: r["g"])["component"], "strongly_associated").otherwise("transition")
+    return got.select("tile_id", "split", status.alias("s14_status"))
+
+
 def shards(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles dealt into 8 shards of nearly equal numbers of points, by contiguous ranges of ids."""
     p = table(spark, sf, "tile_points").where("tile_id is not null").groupBy("tile_id").agg(F.count("*").alias("n"))
@@ -356,7 +410,8 @@ QUERIES = {
     for f in (
         class_counts_by_split, crosstab_split_class, class_shares, describe_profile, moments, correlations, train_thresholds, calibrated_classes, strict_join_audit, key_difference,
         repeated_keys, manifest_scan, manifest_points, token_validation, labels_wide, labels_long, label_stats, s3_gap, d1_trend, question_rows, question_counts, rendered_answers,
-        eval_numeric_metrics, eval_report_pivot, eval_balanced_accuracy, eval_family_macro, extract_answers, sample_points, sample_weighted, sample_balanced, shards, rolling_mean, event_windows,
+        eval_numeric_metrics, eval_report_pivot, eval_balanced_accuracy, eval_family_macro, extract_answers, eval_value_accuracy, sample_points, sample_weighted,
+        sample_balanced, question_sample_capped, epoch_batches, s14_status, shards, rolling_mean, event_windows,
     )
 }
 
@@ -377,6 +432,9 @@ p AS (SELECT task, model, gold, TRY_CAST(coalesce(nullif(regexp_extract(s, '(-?\
 _SCORE = """count(*) n, count(pred) n_pred, round(avg(abs(pred - gold)), 6) mae, round(sqrt(avg((pred - gold) * (pred - gold))), 6) rmse,
 round(CASE WHEN var_pop(gold) FILTER (WHERE pred IS NOT NULL) * count(pred) > 1e-12 THEN 1 - sum((pred - gold) * (pred - gold)) / (var_pop(gold) FILTER (WHERE pred IS NOT NULL) * count(pred)) END, 5) r2,
 round(avg(CASE WHEN abs(pred - gold) <= 1e-9 THEN 1.0::DOUBLE ELSE 0 END), 6) exact"""
+_RECORDS_VALUE = f"WITH {_RECORDS}" + r""", x AS (SELECT task, rendered_target_value t, TRY_CAST(rendered_target_value AS DOUBLE) gold, regexp_replace(coalesce(llm_output, ''), '(\d),(\d)', '\1.\2', 'g') s FROM r WHERE answer_type = 'numeric'),
+p AS (SELECT task, gold, 0.5 * power(10.0, -length(regexp_extract(t, '\.(\d+)$', 1))) tol, TRY_CAST(coalesce(nullif(regexp_extract(s, '(-?\d+(?:\.\d+)?) ?(?:mm|days)', 1), ''), nullif(regexp_extract(s, '(-?\d+(?:\.\d+)?)', 1), '')) AS DOUBLE) pred FROM x WHERE gold IS NOT NULL)
+SELECT task, count(*) n, round(avg(CASE WHEN coalesce(abs(pred - gold) <= tol + 1e-9, FALSE) THEN 1.0::DOUBLE ELSE 0 END), 6) value_accuracy, round(avg(CASE WHEN pred IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) coverage FROM p GROUP BY 1"""
 _CAT = _RECORDS + """, c AS (SELECT record_id, task, rendered_target_value gold, ' ' || regexp_replace(lower(coalesce(llm_output, '')), '[^a-z]+', ' ', 'g') || ' ' s FROM r WHERE answer_type = 'categorical' AND rendered_target_value IS NOT NULL),
 m AS (SELECT c.record_id, n.name FROM c JOIN (SELECT DISTINCT task, gold AS name FROM c) n USING (task) WHERE instr(s, ' ' || replace(n.name, '_', ' ') || ' ') > 0 QUALIFY row_number() OVER (PARTITION BY c.record_id ORDER BY length(n.name) DESC, n.name DESC) = 1),
 k AS (SELECT c.task, c.gold, avg(CASE WHEN m.name = c.gold THEN 1.0::DOUBLE ELSE 0 END) recall, sum(CASE WHEN m.name = c.gold THEN 1 ELSE 0 END) ok, count(*) k FROM c LEFT JOIN m USING (record_id) GROUP BY 1, 2)"""
@@ -444,6 +502,10 @@ CASE WHEN v IS NULL THEN 'missing' ELSE 'numeric' END AS answer_type FROM b""",
     "eval_balanced_accuracy": f"WITH {_CAT} SELECT task, round(avg(recall), 6) balanced_accuracy, round(sum(ok) / sum(k), 6) accuracy, CAST(sum(k) AS BIGINT) n, count(*) classes FROM k GROUP BY 1",
     "eval_family_macro": f"""WITH s AS (SELECT task, greatest(-1.0, least(1.0, r2)) score FROM (WITH {_NUM} SELECT task, {_SCORE} FROM p GROUP BY 1) a WHERE r2 IS NOT NULL UNION ALL SELECT task, b FROM (WITH {_CAT} SELECT task, round(avg(recall), 6) b FROM k GROUP BY 1) c)
 SELECT substr(task, 1, 1) AS family, count(*) AS tasks, round(avg(score), 5) AS mean_score FROM s GROUP BY 1 UNION ALL SELECT 'all', count(*), round(avg(score), 5) FROM s""",
+    "eval_value_accuracy": _RECORDS_VALUE,
+    "question_sample_capped": f"""WITH t AS (SELECT DISTINCT tile_id FROM split_manifest WHERE tile_id IS NOT NULL), q AS (SELECT t.tile_id, c.task_id, c.task_name, {_FNV} % 5 AS phrase_id FROM t, task_catalog c WHERE c.task_id LIKE 'X%')
+SELECT task_id, tile_id, replace({_PHRASE_SQL}[phrase_id + 1], '{{t}}', task_name) AS question FROM q QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY md5(task_id || '|' || tile_id || '|5'), tile_id) <= 30""",
+    "epoch_batches": "WITH t AS (SELECT tile_id, max(split) split FROM tile_points WHERE tile_id IS NOT NULL GROUP BY 1) SELECT split, tile_id, CAST((row_number() OVER (PARTITION BY split ORDER BY md5(split || '|' || tile_id || '|2'), tile_id) - 1) // 8 AS INTEGER) AS batch FROM t WHERE split IS NOT NULL",
     "sample_points": "WITH k AS (SELECT DISTINCT tile_id, point_idx FROM tile_points WHERE tile_id IS NOT NULL AND point_idx IS NOT NULL) SELECT tile_id, point_idx FROM k QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY md5(tile_id || '|' || point_idx || '|7'), point_idx) <= 5",
     "sample_weighted": """WITH k AS (SELECT tile_id, point_idx, max(rmse) w FROM tile_points WHERE tile_id IS NOT NULL AND point_idx IS NOT NULL GROUP BY 1, 2),
 u AS (SELECT tile_id, point_idx, -ln((CAST('0x' || substr(md5(tile_id || '|' || point_idx || '|3'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / (1 / (CAST(w AS DOUBLE) + 0.1::DOUBLE)) clock FROM k WHERE w IS NOT NULL AND NOT isnan(w))

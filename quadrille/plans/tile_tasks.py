@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import classify, stats
-from quadrille.operators import grid, vectorops
+from quadrille.operators import grid, sampling, vectorops
 from quadrille.sources.tables import finite, nan_to_null, table
 
 STATICS = ("height", "rmse", "mean_velocity", "mean_velocity_std", "acceleration", "acceleration_std", "seasonality", "seasonality_std")
@@ -225,6 +225,26 @@ def d4_dominance(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("tile_id", "split", *six("trend", "seasonal", "acceleration"), kind.alias("d41_process"))
 
 
+DRIFT = ("stable", "mildly_sensitive", "highly_sensitive", "extreme")
+DRIFT_FIELDS = ("mean_velocity", "acceleration", "seasonality", "rmse")
+
+
+def a1_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Angle between a tile's mean vector and that of a fifth of its points (at least 8, by hash), as a part of half a turn."""
+    p = points(spark, sf)
+    w = Window.partitionBy("tile_id").orderBy(sampling.order("tile_id", F.col("point_idx").cast("string"), seed=11), "point_idx")
+    n = p.groupBy("tile_id").agg(F.count("*").alias("n"))
+    chosen = p.join(n, "tile_id").withColumn("place", F.row_number().over(w)).withColumn("drawn", F.col("place") <= F.greatest(F.lit(8), F.round(F.col("n") * 0.2)))
+    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in DRIFT_FIELDS] + [F.coalesce(F.avg(F.when(F.col("drawn"), F.col(c))), F.lit(0.0)).alias(f"s_{c}") for c in DRIFT_FIELDS]
+    m = chosen.groupBy("tile_id").agg(F.max("split").alias("split"), *means)
+    total = lambda pairs: sum((F.col(a) * F.col(b) for a, b in pairs), F.lit(0.0))
+    size = F.sqrt(total((c, c) for c in DRIFT_FIELDS)) * F.sqrt(total((f"s_{c}", f"s_{c}") for c in DRIFT_FIELDS))
+    cos = F.when(size > 0, total((c, f"s_{c}") for c in DRIFT_FIELDS) / size)
+    out = m.select("tile_id", "split", F.round(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))) / F.pi(), 9).alias("a11"))
+    out = _calibrated(out, "a11", (0.75, 0.95, 0.99), lambda q: classify.at_most(F.col("a11"), q, DRIFT))
+    return out.select("tile_id", "split", F.round("a11", 6).alias("a11_drift"), F.col("kind").alias("a12_class"))
+
+
 STEP_DAYS, FIRST_INDEX, EPOCHS = 6.0, 8, 294
 
 
@@ -317,7 +337,7 @@ def pool_cells(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        b1_snr, b2_mean_band, b3_tails, b4_acceleration, b5_seasonality, a3_coverage, a4_noise, c1_moving_extent, c1_dominant_cell, c2_concentration,
+        a1_drift, b1_snr, b2_mean_band, b3_tails, b4_acceleration, b5_seasonality, a3_coverage, a4_noise, c1_moving_extent, c1_dominant_cell, c2_concentration,
         c3_front, c4_fast_tail, c4_reference, d3_intensification, d4_dominance, time_axis, d2_phase, d2_amplitude_change, s1_anchor, s2_isolation,
         s4_dispersion, pool_cells,
     )
@@ -375,7 +395,12 @@ _INTENSE = f"""{_binned("b", "TRUE")}, i AS (SELECT *, coalesce(mean_velocity IS
   AND abs(mean_velocity) / (rmse + 1e-9) >= 1, FALSE) strong, sign(mean_velocity) * acceleration i FROM b)"""
 _SQL_TAILS = "q AS (SELECT tile_id, max(split) split, avg(mean_velocity) m, quantile_cont(mean_velocity, 0.1) p10, quantile_cont(mean_velocity, 0.9) p90, quantile_cont(abs(mean_velocity), 0.9) a90, median(rmse) r FROM p GROUP BY 1)"
 
+_DOT = lambda a, b: " + ".join(f"{a}{c} * {b}{c}" for c in DRIFT_FIELDS)
 ORACLE = {
+    "a1_drift": f"""WITH {P}, n AS (SELECT tile_id, count(*) n FROM p GROUP BY 1), c AS (SELECT p.*, row_number() OVER (PARTITION BY tile_id ORDER BY md5(tile_id || '|' || point_idx || '|11'), point_idx) <= greatest(8, round(n * 0.2)) d FROM p JOIN n USING (tile_id)),
+m AS (SELECT tile_id, max(split) split, {", ".join(f"coalesce(avg({c}), 0) f_{c}, coalesce(avg({c}) FILTER (WHERE d), 0) s_{c}" for c in DRIFT_FIELDS)} FROM c GROUP BY 1),
+k AS (SELECT tile_id, split, sqrt({_DOT("f_", "f_")}) * sqrt({_DOT("s_", "s_")}) z, {_DOT("f_", "s_")} y FROM m), o AS (SELECT tile_id, split, round(acos(greatest(-1, least(1, CASE WHEN z > 0 THEN y / z END))) / pi(), 9) v FROM k), {_borders('v', (0.75, 0.95, 0.99))}
+SELECT tile_id, split, round(v, 6) a11_drift, {_case('v', '<=', _Q3, DRIFT)} a12_class FROM o, th""",
     "b1_snr": f"WITH {P}, {_SQL_TAILS} SELECT tile_id, split, round(-m / (r + 1e-12), 6) b11_snr, CASE WHEN -m / (r + 1e-12) >= 1 THEN 'clear_subsidence' ELSE 'no_clear_subsidence' END b12_class FROM q",
     "b2_mean_band": f"WITH {P}, {_SQL_TAILS} SELECT tile_id, split, round(m, 6) b21_mean_velocity, CASE WHEN p90 > abs(p10) THEN 'uplift' ELSE {_case('round(m, 9)', '<=', *MEAN_BANDS)} END b22_band FROM q",
     "b3_tails": f"""WITH {P}, {_SQL_TAILS} SELECT tile_id, split, round(p10, 6) b31_p10, round(p90, 6) b32_p90, round(a90, 6) b33_abs_p90, CASE WHEN p90 > abs(p10) THEN 'uplift' ELSE 'non_uplift' END b34_direction,
