@@ -24,16 +24,15 @@ COHERENCE = ("spatially_coherent", "weak_local_structure", "clear_local_structur
 FAST = 4.8
 
 
-def points(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest delivery of each point, NaN as null."""
+def points(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The latest delivery of each point with the named values, NaN as null. Only those columns are read and moved."""
     raw = table(spark, sf, "tile_points").where("tile_id is not null and point_idx is not null")
-    last = raw.groupBy("tile_id", "point_idx").agg(F.max(F.struct("ingested_at", "x", "y", "split", *STATICS)).alias("r"))
-    nums = [nan_to_null(F.col(f"r.{c}")).alias(c) for c in ("x", "y", *STATICS)]
-    return last.select("tile_id", "point_idx", F.col("r.split").alias("split"), *nums)
+    last = raw.groupBy("tile_id", "point_idx").agg(F.max(F.struct("ingested_at", *columns, "split")).alias("r"))
+    return last.select("tile_id", "point_idx", F.col("r.split").alias("split"), *[nan_to_null(F.col(f"r.{c}")).alias(c) for c in columns])
 
 
-def placed(spark: SparkSession, sf: str) -> DataFrame:
-    return points(spark, sf).where(finite(F.col("x")) & finite(F.col("y")))
+def placed(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return points(spark, sf, "x", "y", *columns).where(finite(F.col("x")) & finite(F.col("y")))
 
 
 def tiles(df: DataFrame) -> DataFrame:
@@ -45,7 +44,7 @@ def six(*names: str) -> list[Column]:
 
 
 def b1_snr(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
+    p = points(spark, sf, "mean_velocity", "rmse")
     mean = p.groupBy("tile_id").agg(F.max("split").alias("split"), F.avg("mean_velocity").alias("v"))
     out = mean.join(stats.percentiles(p, ["tile_id"], {"rmse": F.col("rmse")}, [0.5]), "tile_id", "left")
     snr = -F.col("v") / (F.col("rmse_p50") + 1e-12)
@@ -54,13 +53,13 @@ def b1_snr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tails(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
+    p = points(spark, sf, "mean_velocity")
     v = {"v": F.col("mean_velocity"), "a": F.abs("mean_velocity")}
     return tiles(p).join(stats.percentiles(p, ["tile_id"], v, [0.1, 0.9]), "tile_id", "left")
 
 
 def b2_mean_band(spark: SparkSession, sf: str) -> DataFrame:
-    mean = points(spark, sf).groupBy("tile_id").agg(F.avg("mean_velocity").alias("b21_mean_velocity"))
+    mean = points(spark, sf, "mean_velocity").groupBy("tile_id").agg(F.avg("mean_velocity").alias("b21_mean_velocity"))
     out = _tails(spark, sf).join(mean, "tile_id")
     band = F.when(F.col("v_p90") > F.abs("v_p10"), "uplift").otherwise(classify.at_most(F.round("b21_mean_velocity", 9), *MEAN_BANDS))
     return out.select("tile_id", "split", *six("b21_mean_velocity"), band.alias("b22_band"))
@@ -84,13 +83,13 @@ def b3_tails(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b4_acceleration(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
+    p = points(spark, sf, "acceleration")
     out = tiles(p).join(stats.percentiles(p, ["tile_id"], {"a": F.abs("acceleration")}, [0.9]), "tile_id", "left")
     return out.select("tile_id", "split", F.round("a_p90", 6).alias("b41_abs_p90"), classify.at_most(F.round("a_p90", 9), *TYPICAL_ACCELERATION).alias("b42_typicality"))
 
 
 def b5_seasonality(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
+    p = points(spark, sf, "seasonality")
     out = tiles(p).join(stats.percentiles(p, ["tile_id"], {"s": F.col("seasonality")}, [0.9]), "tile_id", "left")
     return out.select("tile_id", "split", F.round("s_p90", 6).alias("b51_p90"))
 
@@ -103,7 +102,7 @@ def a3_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a4_noise(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
+    p = points(spark, sf, "rmse")
     out = tiles(p).join(stats.percentiles(p, ["tile_id"], {"r": F.col("rmse")}, [0.5]), "tile_id", "left")
     return out.select("tile_id", "split", F.round("r_p50", 6).alias("a41_median"), F.coalesce(classify.below(F.round("r_p50", 9), *NOISE), F.lit("unknown")).alias("a42_class"))
 
@@ -116,28 +115,28 @@ def _calibrated(out: DataFrame, value: str, qs: tuple[float, ...], ladder) -> Da
 
 def c1_moving_extent(spark: SparkSession, sf: str) -> DataFrame:
     snr = F.abs("mean_velocity") / (F.col("rmse") + 1e-12)
-    out = points(spark, sf).groupBy("tile_id").agg(F.max("split").alias("split"), F.avg(F.when(snr >= 1, 1.0).otherwise(0.0)).alias("c11"))
+    out = points(spark, sf, "mean_velocity", "rmse").groupBy("tile_id").agg(F.max("split").alias("split"), F.avg(F.when(snr >= 1, 1.0).otherwise(0.0)).alias("c11"))
     out = _calibrated(out.withColumn("c11", F.round("c11", 9)), "c11", (0.1, 0.5, 0.9), lambda q: classify.at_most(F.col("c11"), q, EXTENT))
     return out.select("tile_id", "split", F.round("c11", 6).alias("c11_fraction"), F.col("kind").alias("c12_class"))
 
 
 def c1_dominant_cell(spark: SparkSession, sf: str) -> DataFrame:
-    b = grid.binned(placed(spark, sf), F.col("mean_velocity").isNotNull())
+    b = grid.binned(placed(spark, sf, "mean_velocity"), F.col("mean_velocity").isNotNull())
     cells = b.groupBy("tile_id", "bin").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("mean_velocity")), 9).alias("v")).where(F.col("n") >= grid.SUPPORT)
-    best = tiles(placed(spark, sf)).join(grid.top_cell(cells, "v"), "tile_id", "left")
+    best = tiles(placed(spark, sf, "mean_velocity")).join(grid.top_cell(cells, "v"), "tile_id", "left")
     return best.select("tile_id", "split", F.coalesce(grid.cell_name(F.col("bin")), F.lit("none")).alias("c13_cell"))
 
 
 def _cells(spark: SparkSession, sf: str, value: Column) -> DataFrame:
     """Cells with enough points, centred on all points; a missing value leaves out its cell."""
-    b = grid.binned(placed(spark, sf))
+    b = grid.binned(placed(spark, sf, "mean_velocity"))
     cells = b.groupBy("tile_id", "bin").agg(F.count("*").alias("n"), F.count(value).alias("known"), F.avg(value).alias("v"))
     return cells.where((F.col("n") >= grid.SUPPORT) & (F.col("known") == F.col("n")))
 
 
 def c2_concentration(spark: SparkSession, sf: str) -> DataFrame:
     g = stats.gini(_cells(spark, sf, F.abs("mean_velocity")), ["tile_id"], "v")
-    out = tiles(placed(spark, sf)).join(g, "tile_id", "left").select("tile_id", "split", F.round(F.coalesce("gini", F.lit(0.0)), 9).alias("c21"))
+    out = tiles(placed(spark, sf, "mean_velocity")).join(g, "tile_id", "left").select("tile_id", "split", F.round(F.coalesce("gini", F.lit(0.0)), 9).alias("c21"))
     out = _calibrated(out, "c21", (0.1, 0.5, 0.9), lambda q: classify.at_most(F.col("c21"), q, CONCENTRATION))
     return out.select("tile_id", "split", F.round("c21", 6).alias("c21_gini"), F.col("kind").alias("c22_class"))
 
@@ -147,14 +146,14 @@ def c3_front(spark: SparkSession, sf: str) -> DataFrame:
     tail = stats.percentiles(steps, ["tile_id"], {"s": F.col("step")}, [0.9])
     sharp = steps.groupBy("tile_id").agg(F.max(F.struct("step", (-F.col("place")).alias("o"), "bin", "other")).alias("m"))
     where = F.concat(grid.cell_name(F.col("m.bin")), F.lit("-"), grid.cell_name(F.col("m.other")))
-    out = tiles(placed(spark, sf)).join(tail, "tile_id", "left").join(sharp, "tile_id", "left")
+    out = tiles(placed(spark, sf, "mean_velocity")).join(tail, "tile_id", "left").join(sharp, "tile_id", "left")
     out = out.select("tile_id", "split", F.round(F.coalesce("s_p90", F.lit(0.0)), 9).alias("c31"), F.coalesce(where, F.lit("none")).alias("c32_location"))
     out = _calibrated(out, "c31", (0.1, 0.5, 0.9), lambda q: classify.at_most(F.col("c31"), q, FRONT))
     return out.select("tile_id", "split", F.round("c31", 6).alias("c31_strength"), "c32_location", F.col("kind").alias("c33_class"))
 
 
 def _fast_cells(spark: SparkSession, sf: str) -> DataFrame:
-    b = grid.binned(placed(spark, sf), F.col("mean_velocity").isNotNull())
+    b = grid.binned(placed(spark, sf, "mean_velocity"), F.col("mean_velocity").isNotNull())
     enough = b.groupBy("tile_id", "bin").agg(F.count("*").alias("n")).where(F.col("n") >= grid.SUPPORT)
     p90 = stats.percentiles(b, ["tile_id", "bin"], {"a": F.abs("mean_velocity")}, [0.9])
     return enough.join(p90, ["tile_id", "bin"]).select("tile_id", "bin", "n", F.col("a_p90").cast("float").alias("p90"))
@@ -163,7 +162,7 @@ def _fast_cells(spark: SparkSession, sf: str) -> DataFrame:
 def c4_fast_tail(spark: SparkSession, sf: str) -> DataFrame:
     cells = _fast_cells(spark, sf)
     per = cells.groupBy("tile_id").agg(F.count("*").alias("valid"), F.count_if(F.col("p90") >= F.lit(FAST).cast("float")).alias("fast"))
-    out = tiles(placed(spark, sf)).join(per, "tile_id", "left").select("tile_id", "split", F.coalesce("valid", F.lit(0)).alias("valid"), F.coalesce("fast", F.lit(0)).alias("fast"))
+    out = tiles(placed(spark, sf, "mean_velocity")).join(per, "tile_id", "left").select("tile_id", "split", F.coalesce("valid", F.lit(0)).alias("valid"), F.coalesce("fast", F.lit(0)).alias("fast"))
     share = F.when(F.col("valid") > 0, F.col("fast") / F.col("valid")).otherwise(0.0)
     kind = F.when(F.col("fast") == 0, "none").when(F.col("fast") <= 2, "sparse").when(share < 0.25, "localized").otherwise("extensive")
     return out.select("tile_id", "split", F.round(share, 6).alias("c41_fraction"), kind.alias("c42_class"))
@@ -182,7 +181,7 @@ def c4_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 def _intensity(spark: SparkSession, sf: str) -> DataFrame:
     """binned points with `strong` (motion that counts) and `i`, acceleration along the motion."""
-    b = grid.binned(placed(spark, sf))
+    b = grid.binned(placed(spark, sf, "mean_velocity", "rmse", "acceleration"))
     v, a = F.col("mean_velocity"), F.col("acceleration")
     strong = v.isNotNull() & a.isNotNull() & F.col("rmse").isNotNull() & (v != 0) & (F.abs(v) / (F.col("rmse") + 1e-9) >= 1)
     return b.withColumn("strong", F.coalesce(strong, F.lit(False))).withColumn("i", F.when(F.col("strong"), F.signum(v) * a))
@@ -210,7 +209,7 @@ def d3_intensification(spark: SparkSession, sf: str, fewest: int = 30) -> DataFr
 
 def d4_dominance(spark: SparkSession, sf: str) -> DataFrame:
     """Which process stands highest among the training tiles: trend, season or acceleration."""
-    p = points(spark, sf)
+    p = points(spark, sf, "mean_velocity", "seasonality", "acceleration")
     q = stats.percentiles(p, ["tile_id"], {"trend": F.abs("mean_velocity"), "seasonal": F.col("seasonality"), "acceleration": F.abs("acceleration")}, [0.9])
     out, ranks = tiles(p).join(q, "tile_id", "left"), []
     for name in ("trend", "seasonal", "acceleration"):
@@ -231,7 +230,7 @@ DRIFT_FIELDS = ("mean_velocity", "acceleration", "seasonality", "rmse")
 
 def a1_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Angle between a tile's mean vector and that of a fifth of its points (at least 8, by hash), as a part of half a turn."""
-    p = points(spark, sf)
+    p = points(spark, sf, *DRIFT_FIELDS)
     w = Window.partitionBy("tile_id").orderBy(sampling.order("tile_id", F.col("point_idx").cast("string"), seed=11), "point_idx")
     n = p.groupBy("tile_id").agg(F.count("*").alias("n"))
     chosen = p.join(n, "tile_id").withColumn("place", F.row_number().over(w)).withColumn("drawn", F.col("place") <= F.greatest(F.lit(8), F.round(F.col("n") * 0.2)))
@@ -326,7 +325,7 @@ def s4_dispersion(spark: SparkSession, sf: str) -> DataFrame:
 
 def pool_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of a tile from its points' values: token 0 the mean over all, 1 to 64 over each cell, with counts; empty cells are not valid."""
-    b = grid.binned(placed(spark, sf)).select("tile_id", (F.col("bin") + 1).alias("token_idx"), "mean_velocity", "rmse")
+    b = grid.binned(placed(spark, sf, "mean_velocity", "rmse")).select("tile_id", (F.col("bin") + 1).alias("token_idx"), "mean_velocity", "rmse")
     both = b.unionByName(b.withColumn("token_idx", F.lit(0)))
     got = both.groupBy("tile_id", "token_idx").agg(F.count("*").alias("point_count"), F.avg("mean_velocity").alias("velocity"), F.avg("rmse").alias("rmse"))
     frame = b.select("tile_id").distinct().withColumn("token_idx", F.explode(F.sequence(F.lit(0), F.lit(64))))
