@@ -67,7 +67,11 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once in a session, wherever the driver found it."""
+    """Send this package to the executors' Python workers, once in a session, wherever the driver found it.
+
+    The archive is made beside the driver and handed out by Spark; no executor
+    reads the driver's folder.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_quadrille_shipped", False):
         return
