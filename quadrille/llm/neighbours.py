@@ -161,10 +161,14 @@ def partners(codes: DataFrame) -> DataFrame:
     spark = codes.sparkSession
     rows = codes.count()
     sampled = codes.where(F.pmod("id", F.lit(SIXTEENTH)) == 0).groupBy("bucket").count()
-    hot = sampled.where(F.col("count") * SIXTEENTH > 4 * BUCKET).select("bucket", F.ceil(F.col("count") * SIXTEENTH / BUCKET).alias("salts"))
+    hot = cut(sampled.where(F.col("count") * SIXTEENTH > 4 * BUCKET).select("bucket", F.ceil(F.col("count") * SIXTEENTH / BUCKET).alias("salts")))
     tasks = max(parallelism(spark), rows // 2_000_000 + 1)
-    salted = codes.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)).cast("long")))
-    dealt = salted.select("bucket", "salt", "id", *_WORDS).repartition(tasks, "bucket", "salt")
+    # The bucket, and with it the table, is part of the hash: rows parted in one table meet in another.
+    salted = codes.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("id", "bucket"), F.coalesce("salts", F.lit(1)).cast("long")))
+    # The smallest row of a hot bucket goes to all its salts, so that rows like it stay connected however they were dealt.
+    common = codes.join(hot, "bucket").groupBy("bucket").agg(F.min(F.struct("id", *_WORDS)).alias("r"), F.max("salts").alias("salts"))
+    common = common.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "r.*")
+    dealt = salted.select("bucket", "salt", "id", *_WORDS).unionByName(common).repartition(tasks, "bucket", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]

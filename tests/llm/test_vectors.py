@@ -129,6 +129,15 @@ def test_groups_are_left_out_and_copies_take_the_smallest_keys(spark):
     assert found(nearest(spark, vecs, col)) == brute_neighbours(vecs, groups_of, 3, 0.90)
 
 
+def test_copies_of_a_hot_bucket_meet_across_its_salts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET", 8)
+    monkeypatch.setattr(neighbours, "LOCAL", 20)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal(WIDTH)
+    vecs = {f"c{i:03d}": v for i in range(300)} | {f"y{i}": rng.standard_normal(WIDTH) for i in range(30)}
+    assert found(nearest(spark, vecs, F.col("tile_id"))) == brute_neighbours(vecs, lambda k: k, 3, 0.90)
+
+
 def test_greedy_search_reaches_nine_tenths_of_brute_force(spark):
     vecs = groups(5)
     keys, x = unit(vecs)
