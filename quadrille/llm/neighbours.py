@@ -51,6 +51,8 @@ TABLES, TURNED, BITS, DIFFER = 6, 128, 256, 50
 PARTNERS, BUCKET, SIXTEENTH = 3, 2048, 16
 #: Rows of a pivot joined at once; equal vectors beyond which only the first ones take part; rounds of descent; changed share that ends it.
 LOCAL, COPIES, ROUNDS, REST = 8192, 12, 4, 0.002
+#: Times that the rows of a bucket above LOCAL are dealt to its blocks in each table.
+DEALS = 2
 #: Rows that a search keeps for each query.
 WIDE = 16
 #: Most bits of the filter that keeps vectors without partners from being moved. Beyond its room it lets more through.
@@ -417,10 +419,11 @@ def search(queries: DataFrame, nodes: DataFrame, lists: DataFrame, k: int = 3, l
 
 
 def _by_bucket(rows: DataFrame) -> DataFrame:
-    """Each row once for every table, in the block of its bucket; overgrown buckets are salted, and joined once more in blocks by hash."""
+    """Each row once for every table, in the block of its bucket; rows of an overgrown bucket are dealt to blocks DEALS times, by a hash that differs for each table and deal."""
     codes = rows.select(F.xxhash64("key").alias("id"), "vec")
-    placed = coded(codes).select("id", "bucket")
+    placed = cut(coded(codes).select("id", "bucket"))
     sizes = placed.groupBy("bucket").count().where(F.col("count") > LOCAL).select("bucket", F.ceil(F.col("count") / LOCAL).alias("salts"))
-    block = F.concat_ws(":", "bucket", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)).cast("long")))
-    placed = placed.join(sizes, "bucket", "left").select("id", block.alias("block")).distinct()
+    deals = F.sequence(F.lit(1), F.when(F.col("salts").isNull(), 1).otherwise(DEALS))
+    salt = F.pmod(F.xxhash64("id", "bucket", "deal"), F.coalesce("salts", F.lit(1)).cast("long"))
+    placed = placed.join(sizes, "bucket", "left").withColumn("deal", F.explode(deals)).select("id", F.concat_ws(":", "bucket", "deal", salt).alias("block")).distinct()
     return rows.withColumn("id", F.xxhash64("key")).join(placed, "id").select("block", "key", "grp", "late", "vec")

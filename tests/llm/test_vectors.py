@@ -138,6 +138,17 @@ def test_copies_of_a_hot_bucket_meet_across_its_salts(spark, monkeypatch):
     assert found(nearest(spark, vecs, F.col("tile_id"))) == brute_neighbours(vecs, lambda k: k, 3, 0.90)
 
 
+def test_parted_blocks_of_an_overgrown_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LOCAL", 100)
+    rng = np.random.default_rng(10)
+    centre = rng.standard_normal(WIDTH)
+    vecs = {f"t{i:03d}": centre + 0.02 * rng.standard_normal(WIDTH) for i in range(250)}
+    got = found(nearest(spark, vecs, F.col("tile_id")))
+    want = brute_neighbours(vecs, lambda k: k, 3, 0.90)
+    print("recall", len(got & want) / len(want))
+    assert len(got & want) >= 0.98 * len(want)
+
+
 def test_greedy_search_reaches_nine_tenths_of_brute_force(spark):
     vecs = groups(5)
     keys, x = unit(vecs)
