@@ -7,8 +7,8 @@ truncated        the text breaks off where, over the whole corpus, sentences wit
                  termination is learned from how often each sentence beginning was closed by a full stop
                  and how often it went on, with the last three words as a fallback for beginnings
                  seen nowhere else. A missing full stop alone is no defect.
-refusal          the openings of answers without any value are clustered by verified MinHash (shingles
-                 of five words, similarity 0.8); a template that recurs across unrelated prompts, or that
+refusal          the sentences of answers without any value are clustered by their first eight words and by
+                 verified MinHash of the whole (shingles of five words, similarity 0.8); a template that recurs across unrelated prompts, or that
                  also answers prompts meant to be declined, is a refusal, unless it is how a
                  missing value is properly reported. Prompts whose right answer is a refusal or a
                  missing value have none.
@@ -38,9 +38,9 @@ from quadrille.llm.components import components
 from quadrille.session import cut
 
 FIELDS = ("correct_answer", "llm_output")
-#: Words of an opening; words of a shingle; similarity of two openings of one template; prompts' tasks across which a refusal recurs.
+#: Words of an opening; words of a shingle; similarity of two sentences of one template; prompts' tasks across which a refusal recurs.
 OPENING, SHINGLE, ALIKE, RECURS = 8, 5, 0.8, 3
-#: Hashes of a signature and rows of a band: openings 0.8 alike share one of 16 bands of 4 in all but 1 of 5,000 cases.
+#: Hashes of a signature and rows of a band: sentences 0.8 alike share one of 16 bands of 4 in all but 1 of 5,000 cases.
 HASHES, BAND = 64, 4
 #: A sentence beginning is a whole sentence if it was closed at least so often for each time that it went on.
 CLOSED = 0.1
@@ -144,15 +144,15 @@ def sentences(masked: str) -> list[tuple[list[str], bool]]:
     return out
 
 
-def openings(words: list[str]) -> list[str]:
-    """The first words of a sentence, with and without a lead-in of at most four words before a comma or dash."""
+def openings(words: list[str]) -> list[tuple[str, str]]:
+    """(first words, all words) of a sentence, with and without a lead-in of at most four words before a comma or dash."""
     out = [words]
     for k, w in enumerate(words[:5]):
         if w in ",–—:;-" and k:
             out.append(words[k + 1 :])
             break
     flat = [[w for w in s if w[0].isalnum() or w[0] == "<"] for s in out]
-    return [" ".join(s[:OPENING]) for s in flat if len(s) >= 3]
+    return [(" ".join(s[:OPENING]), " ".join(s)) for s in flat if len(s) >= 3]
 
 
 def copies(question: str, text: str) -> bool:
@@ -180,7 +180,7 @@ def copies(question: str, text: str) -> bool:
 
 _FEATURES = (
     "record_id {id}, field string, task string, answer_type string, defect string, sents array<struct<s:string,closed:boolean>>, "
-    "last string, tail string, open boolean, bare boolean, value boolean, openings array<string>"
+    "last string, tail string, open boolean, bare boolean, value boolean, openings array<struct<opening:string,sentence:string>>"
 )
 
 
@@ -237,7 +237,7 @@ def beginnings(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _signature(text: str) -> tuple[list[int], list[int]]:
-    """(shingles, MinHash) of an opening; one with fewer words than a shingle is one shingle."""
+    """(shingles, MinHash) of a sentence; one with fewer words than a shingle is one shingle."""
     w = text.split(" ")
     shingles = {xxhash.xxh64_intdigest(" ".join(w[i : i + SHINGLE])) for i in range(max(1, len(w) - SHINGLE + 1))}
     x = np.array(sorted(shingles), np.uint64)
@@ -247,30 +247,55 @@ def _signature(text: str) -> tuple[list[int], list[int]]:
     return x.view(np.int64).tolist(), h.min(axis=0).view(np.int64).tolist()
 
 
-def templates(openings: DataFrame) -> DataFrame:
-    """(opening, template): openings that are alike, by verified MinHash, under the smallest of them.
-
-    Each band's rows are held against the band's smallest opening only, which
-    keeps a band of any size linear; openings alike to none of those they share
-    a band with stand alone.
+def _alike(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): links between the alike sentences of a pair of blocks of one band."""
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    names, mine = pdf["sentence"].tolist(), pdf["mine"].tolist()
+    sets, holders, out = [set(x) for x in pdf["shingles"]], {}, []
+    for at, shingles in enumerate(sets):
+        shared: dict[int, int] = {}
+        for x in shingles:
+            for other in holders.setdefault(x, []):
+                shared[other] = shared.get(other, 0) + 1
+            holders[x].append(at)
+        for other, both in shared.items():
+            # Pairs within one block are compared where that block meets itself.
+            if (i == j or mine[at] != mine[other]) and both >= ALIKE * (len(shingles) + len(sets[other]) - both):
+                out.append((names[other], names[at]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def templates(openings: DataFrame, block: int = 1024) -> DataFrame:
+    """(opening, template): openings whose sentences are alike, by verified MinHash, under the smallest of them.
+
+    openings: opening and the sentence it begins; without a sentence it stands
+    for itself. All pairs of sentences that share a band are compared, those of
+    a band above `block` in pairs of blocks.
     """
+    if "sentence" not in openings.columns:
+        openings = openings.withColumn("sentence", F.col("opening"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for o in b["opening"]:
-                shingles, sig = _signature(o)
-                rows += [(o, shingles, f"{k}:{sig[k : k + BAND]}") for k in range(0, HASHES, BAND)]
-            yield pd.DataFrame(rows, columns=["opening", "shingles", "band"])
-
-    one = openings.select("opening").distinct()
-    banded = cut(one.mapInPandas(sign, "opening string, shingles array<bigint>, band string"))
-    firsts = banded.groupBy("band").agg(F.min(F.struct("opening", "shingles")).alias("f"))
-    met = banded.join(firsts, "band").where(F.col("opening") != F.col("f.opening"))
-    both, either = F.size(F.array_intersect("shingles", "f.shingles")), F.size(F.array_union("shingles", "f.shingles"))
-    links = met.where(both >= ALIKE * either).select(F.col("opening").alias("a"), F.col("f.opening").alias("b")).distinct()
+            for s in b["sentence"]:
+                shingles, sig = _signature(s)
+                rows += [(s, shingles, f"{k}:{sig[k : k + BAND]}") for k in range(0, HASHES, BAND)]
+            yield pd.DataFrame(rows, columns=["sentence", "shingles", "band"])
+
+    one = cut(openings.select("opening", "sentence").distinct())
+    banded = cut(one.select("sentence").distinct().mapInPandas(sign, "sentence string, shingles array<bigint>, band string"))
+    counted = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dense = banded.join(counted, "band").withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("sentence"), blocks).cast("int")})
+    # A row goes to each pair of blocks that its own is part of.
+    spread = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sentence", "shingles")
+    alike = spread.groupBy("band", "i", "j").applyInPandas(_alike, "a string, b string").distinct()
+    of = lambda c: one.select(F.col("opening").alias(f"of_{c}"), F.col("sentence").alias(c))
+    links = alike.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
     label = components(links)
-    return one.join(label.withColumnsRenamed({"node": "opening", "component": "template"}), "opening", "left").select("opening", F.coalesce("template", "opening").alias("template"))
+    return one.select("opening").distinct().join(label.withColumnsRenamed({"node": "opening", "component": "template"}), "opening", "left").select("opening", F.coalesce("template", "opening").alias("template"))
 
 
 def defects(records: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
@@ -295,7 +320,7 @@ def defects(records: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     truncated = doubt.where(goes_on).select("record_id", "field", F.lit("truncated").alias("defect"))
 
     rest = seen.where("defect is null and not value").join(truncated, ["record_id", "field"], "left_anti")
-    rest = cut(rest.select("record_id", "field", "task", "answer_type", F.explode("openings").alias("opening")))
+    rest = cut(rest.select("record_id", "field", "task", "answer_type", F.inline("openings")))
     form = cut(templates(rest))
     voices = rest.join(form, "opening").groupBy("template").agg(
         F.count_distinct(F.when(~F.coalesce("answer_type", F.lit("")).isin("refusal", "missing"), F.col("task"))).alias("tasks"),

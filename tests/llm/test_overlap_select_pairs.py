@@ -122,3 +122,14 @@ def test_openings_that_are_alike_share_a_template(spark):
     df = spark.createDataFrame([(a,), (a + " now",), ("something else entirely is said here",), ("no",)], "opening string")
     got = {r.opening: r.template for r in pairs.templates(df).collect()}
     assert got[a] == got[a + " now"] == a and got["no"] == "no"
+
+
+def test_openings_of_alike_sentences_share_a_template(spark):
+    tail = "that the question about this tile can be answered here with the few points that are left after the cleaning of the series of the last years"
+    texts = [f"i {w} have to tell you {tail}" for w in ("sadly", "really", "gladly")] + [f"the {w} of the cells is not known to us at all" for w in ("state", "age", "kind")]
+    got = {}
+    for block in (1024, 1):
+        df = spark.createDataFrame([o for t in texts for o in pairs.openings(t.split())], "opening string, sentence string")
+        got = {r.opening: r.template for r in pairs.templates(df, block).collect()}
+        assert len(got) == 6 and len({v for k, v in got.items() if k.startswith("i ")}) == 1
+        assert all(got[k] == k for k in got if k.startswith("the "))
