@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import answers, classify, stats
 from quadrille.functions.hashing import fnv1a
-from quadrille.operators import keyed, sampling, trend
+from quadrille.operators import keyed, mixture, sampling, trend
 from quadrille.plans import tile_tasks
 from quadrille.session import cut
 from quadrille.sources.tables import clean_split, finite, nan_to_null, table, tile_of_path
@@ -358,31 +357,21 @@ def epoch_batches(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("place", place).select("split", "tile_id", F.floor((F.col("place") - 1) / 8).cast("int").alias("batch"))
 
 
-def s14_status(spark: SparkSession, sf: str, most: int = 4) -> DataFrame:
+def s14_status(spark: SparkSession, sf: str, most: int = 6, starts: int = 20) -> DataFrame:
     """Mixture of distance and margin to the nearest anchor, its size chosen by BIC on the training tiles; the far and the undecided component get names."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
     split = tile_tasks.tiles(table(spark, sf, "tile_points").where("tile_id is not null"))
     s = cut(tile_tasks.s1_anchor(spark, sf).join(split, "tile_id").select("tile_id", "split", "s12_distance", "s13_margin").where("s12_distance is not null and s13_margin is not null"))
-    raw = VectorAssembler(inputCols=["s12_distance", "s13_margin"], outputCol="raw").transform(s)
-    train = raw.where("split = 'train'")
-    n = train.count()
+    train = s.where("split = 'train'")
+    n, dm, ds, gm, gs = train.agg(F.count("*"), F.avg("s12_distance"), F.stddev_pop("s12_distance"), F.avg("s13_margin"), F.stddev_pop("s13_margin")).first()
     if n < 10:
         return s.select("tile_id", "split", F.lit(None).cast("string").alias("s14_status"))
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(train)
-    space, fit, best = scaler.transform(raw), cut(scaler.transform(train).select("features")), None
-    for k in range(2, most + 1):
-        for seed in (1, 2):
-            m = GaussianMixture(k=k, seed=seed, maxIter=60).fit(fit)
-            # Six free numbers a component (mean, covariance, weight), less one for the weights' sum.
-            bic = -2 * m.summary.logLikelihood + (6 * k - 1) * math.log(n)
-            if best is None or bic < best[0]:
-                best = (bic, m)
-    got = best[1].transform(space).select("tile_id", "split", "s12_distance", "s13_margin", F.col("prediction").alias("component"))
-    means = got.where("split = 'train'").groupBy("component").agg(F.avg("s12_distance").alias("d"), F.avg("s13_margin").alias("g")).collect()
-    far, undecided = max(means, key=lambda r: r["d"])["component"], min(means, key=lambda r: r["g"])["component"]
-    status = F.when(F.col("component").isin(far, undecided), "far_or_ambiguous").when(F.col("component") == max(means, key=lambda r: r["g"])["component"], "strongly_associated").otherwise("transition")
+    x, y = (F.col("s12_distance") - dm) / (ds or 1.0), (F.col("s13_margin") - gm) / (gs or 1.0)
+    model = mixture.fit(cut(train.select(x.alias("x"), y.alias("y"))), most, starts)
+    got = cut(s.withColumn("component", mixture.component(x, y, model)))
+    medians = stats.percentiles(got.where("split = 'train'"), ["component"], {"d": F.col("s12_distance"), "g": F.col("s13_margin")}, [0.5]).orderBy("component").collect()
+    far, undecided = max(medians, key=lambda r: r["d_p50"])["component"], min(medians, key=lambda r: r["g_p50"])["component"]
+    strong = min(medians, key=lambda r: r["d_p50"] - r["g_p50"])["component"]
+    status = F.when(F.col("component").isin(far, undecided), "far_or_ambiguous").when(F.col("component") == strong, "strongly_associated").otherwise("transition")
     return got.select("tile_id", "split", status.alias("s14_status"))
 
 
