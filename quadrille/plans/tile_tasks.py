@@ -244,6 +244,23 @@ def a1_drift(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tile_id", "split", F.round("a11", 6).alias("a11_drift"), F.col("kind").alias("a12_class"))
 
 
+def a1_drift_mean(spark: SparkSession, sf: str, seeds: int = 5) -> DataFrame:
+    """A11 whole: the mean of that angle over the subsamples of seeds 0 to 4."""
+    p = points(spark, sf, *DRIFT_FIELDS)
+    n = p.groupBy("tile_id").agg(F.count("*").alias("n"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"f_{c}") for c in DRIFT_FIELDS])
+    draws = p.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    hashed = F.md5(F.concat_ws("|", "tile_id", F.col("point_idx").cast("string"), F.col("seed").cast("string")))
+    w = Window.partitionBy("tile_id", "seed").orderBy(hashed, "point_idx")
+    drawn = draws.withColumn("place", F.row_number().over(w)).join(n, "tile_id").where(F.col("place") <= F.greatest(F.lit(8), F.round(F.col("n") * 0.2)))
+    m = drawn.groupBy("tile_id", "seed").agg(F.max("split").alias("split"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"s_{c}") for c in DRIFT_FIELDS]).join(n, "tile_id")
+    total = lambda a, b: sum((F.col(a + c) * F.col(b + c) for c in DRIFT_FIELDS), F.lit(0.0))
+    size = F.sqrt(total("f_", "f_")) * F.sqrt(total("s_", "s_"))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(size > 0, total("f_", "s_") / size)))) / F.pi()
+    out = m.groupBy("tile_id").agg(F.max("split").alias("split"), F.round(F.avg(angle), 9).alias("a11"))
+    out = _calibrated(out, "a11", (0.75, 0.95, 0.99), lambda q: classify.at_most(F.col("a11"), q, DRIFT))
+    return out.select("tile_id", "split", F.round("a11", 6).alias("a11_drift"), F.col("kind").alias("a12_class"))
+
+
 STEP_DAYS, FIRST_INDEX, EPOCHS = 6.0, 8, 294
 
 
@@ -336,7 +353,7 @@ def pool_cells(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        a1_drift, b1_snr, b2_mean_band, b3_tails, b4_acceleration, b5_seasonality, a3_coverage, a4_noise, c1_moving_extent, c1_dominant_cell, c2_concentration,
+        a1_drift, a1_drift_mean, b1_snr, b2_mean_band, b3_tails, b4_acceleration, b5_seasonality, a3_coverage, a4_noise, c1_moving_extent, c1_dominant_cell, c2_concentration,
         c3_front, c4_fast_tail, c4_reference, d3_intensification, d4_dominance, time_axis, d2_phase, d2_amplitude_change, s1_anchor, s2_isolation,
         s4_dispersion, pool_cells,
     )
@@ -399,6 +416,11 @@ ORACLE = {
     "a1_drift": f"""WITH {P}, n AS (SELECT tile_id, count(*) n FROM p GROUP BY 1), c AS (SELECT p.*, row_number() OVER (PARTITION BY tile_id ORDER BY md5(tile_id || '|' || point_idx || '|11'), point_idx) <= greatest(8, round(n * 0.2)) d FROM p JOIN n USING (tile_id)),
 m AS (SELECT tile_id, max(split) split, {", ".join(f"coalesce(avg({c}), 0) f_{c}, coalesce(avg({c}) FILTER (WHERE d), 0) s_{c}" for c in DRIFT_FIELDS)} FROM c GROUP BY 1),
 k AS (SELECT tile_id, split, sqrt({_DOT("f_", "f_")}) * sqrt({_DOT("s_", "s_")}) z, {_DOT("f_", "s_")} y FROM m), o AS (SELECT tile_id, split, round(acos(greatest(-1, least(1, CASE WHEN z > 0 THEN y / z END))) / pi(), 9) v FROM k), {_borders('v', (0.75, 0.95, 0.99))}
+SELECT tile_id, split, round(v, 6) a11_drift, {_case('v', '<=', _Q3, DRIFT)} a12_class FROM o, th""",
+    "a1_drift_mean": f"""WITH {P}, n AS (SELECT tile_id, count(*) n FROM p GROUP BY 1), c AS (SELECT p.*, seed, row_number() OVER (PARTITION BY tile_id, seed ORDER BY md5(tile_id || '|' || point_idx || '|' || seed), point_idx) <= greatest(8, round(n * 0.2)) d FROM p JOIN n USING (tile_id), range(5) r(seed)),
+m AS (SELECT tile_id, seed, max(split) split, {", ".join(f"coalesce(avg({c}), 0) f_{c}, coalesce(avg({c}) FILTER (WHERE d), 0) s_{c}" for c in DRIFT_FIELDS)} FROM c GROUP BY 1, 2),
+k AS (SELECT tile_id, split, sqrt({_DOT("f_", "f_")}) * sqrt({_DOT("s_", "s_")}) z, {_DOT("f_", "s_")} y FROM m), a AS (SELECT tile_id, split, acos(greatest(-1, least(1, CASE WHEN z > 0 THEN y / z END))) / pi() v FROM k),
+o AS (SELECT tile_id, max(split) split, round(avg(v), 9) v FROM a GROUP BY 1), {_borders('v', (0.75, 0.95, 0.99))}
 SELECT tile_id, split, round(v, 6) a11_drift, {_case('v', '<=', _Q3, DRIFT)} a12_class FROM o, th""",
     "b1_snr": f"WITH {P}, {_SQL_TAILS} SELECT tile_id, split, round(-m / (r + 1e-12), 6) b11_snr, CASE WHEN -m / (r + 1e-12) >= 1 THEN 'clear_subsidence' ELSE 'no_clear_subsidence' END b12_class FROM q",
     "b2_mean_band": f"WITH {P}, {_SQL_TAILS} SELECT tile_id, split, round(m, 6) b21_mean_velocity, CASE WHEN p90 > abs(p10) THEN 'uplift' ELSE {_case('round(m, 9)', '<=', *MEAN_BANDS)} END b22_band FROM q",
