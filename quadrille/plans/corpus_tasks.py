@@ -284,7 +284,9 @@ def eval_value_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 def eval_report_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """Mean absolute error of every task, a column for each model."""
-    models = [r[0] for r in table(spark, sf, "eval_records").where("model is not null").select("model").distinct().orderBy("model").limit(64).collect()]
+    models = [r[0] for r in table(spark, sf, "eval_records").where("model is not null").select("model").distinct().orderBy("model").limit(65).collect()]
+    if len(models) > 64:
+        raise ValueError("more than 64 models: their columns would not all fit")
     s = _scores(_numeric(spark, sf), ["task", "model"])
     return s.groupBy("task").pivot("model", models).agg(F.first("mae"))
 

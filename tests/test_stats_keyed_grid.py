@@ -128,3 +128,11 @@ def test_vectors_against_anchors_and_library(spark):
     iso = {r.tile_id: r.isolation for r in vectorops.isolation(df, df, "tile_id", 5).collect()}
     for k, x in v.items():
         assert iso[k] == pytest.approx(np.mean(sorted(1 - unit(x) @ unit(y) for m, y in v.items() if m != k)[:5]), abs=1e-6)
+
+
+def test_report_of_too_many_models_is_an_error(spark, monkeypatch):
+    from quadrille.plans import corpus_tasks
+
+    monkeypatch.setattr(corpus_tasks, "table", lambda *_: spark.range(65).selectExpr("concat('m', id) AS model"))
+    with pytest.raises(ValueError, match="64 models"):
+        corpus_tasks.eval_report_pivot(spark, "")
