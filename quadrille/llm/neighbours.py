@@ -1,28 +1,34 @@
 """The k most similar vectors of every vector, by NN-descent.
 
-1. Every vector gets, in each of TABLES tables, the bucket of a random
-   cross-polytope hash, and the signs of its turned coordinates as a sketch.
+1. Start. Every vector gets, in each of TABLES tables, the bucket of a random
+   cross-polytope hash, and the signs of the turned coordinates as a sketch.
    Within a bucket rows are compared by sketch alone; each row keeps its few
-   likeliest partners. This is the first, rough neighbour graph.
-2. Neighbours of neighbours are joined, round by round, on ids alone, until no
-   row learns of a smaller pivot: rows that share a pivot are connected in the
-   graph. Vectors without a likely partner have left by now, before any vector
-   was moved.
-3. Local join: the rows of a pivot meet with their vectors in one task, compare
-   exactly, and keep the k best of other groups (tiles).
-4. A pivot with more rows than LOCAL, an overgrown neighbourhood, is joined by
-   bucket instead, and its lists then descend: neighbours of neighbours are
-   proposed by a join of the graph with itself, compared exactly and kept where
-   they are better, until few lists change.
-5. Of very many equal vectors only the first few of the first groups take part;
-   the others' most similar vectors are exactly those.
+   likeliest partners. Vectors without a likely partner leave here, before any
+   vector was moved.
+2. Place. The rows of a connected part of that rough graph get one block, so
+   that the pairs proposed below find their vectors in one place. A part with
+   more than PLACE rows is dealt to several blocks; a pair across blocks takes
+   one of its vectors along. Blocks only say where a pair is compared, never
+   which pairs are.
+3. Descend. Every row holds a list of its WIDE best others. Round by round the
+   graph is joined with itself: every row hears of the neighbours of its
+   neighbours, and of REVERSE rows, drawn anew in each round, that hold those in
+   their own lists. They are compared and kept where they are better, until only
+   REST of the lists' rows are new.
+4. Lists are compared once more with the whole vectors (the rounds compare
+   vectors of two bytes a coordinate), and the k best remain.
+
+Of more than WIDE equal vectors only the first few of the first groups take
+part; the others' most similar vectors are exactly those.
 
 Only neighbours with a cosine of at least `least` are found; the hashes are made
-for angles of that size. The search is approximate in steps 1 and 4: tests
-measure the recall against brute force.
+for angles of that size. The search is approximate in its start and its end:
+tests measure the recall against brute force.
 
-A bucket that holds a large part of all rows is salted (its size is estimated
-from one row in SIXTEENTH of the ids, which steers the split and drops nothing).
+A bucket that holds a large part of all rows is dealt to blocks by a hash that
+differs for each table, with its smallest row in all of them (its size is
+estimated from one row in SIXTEENTH of the ids, which steers the split and drops
+nothing); what the blocks part, the descent joins again.
 
 Defined cases: unusable vectors and null keys have no neighbours; of several
 rows with one key the latest usable one counts; ties go to the smaller key; rows
@@ -37,6 +43,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -45,22 +53,26 @@ from quadrille.llm.components import components
 from quadrille.llm.vectors import WIDTH, matrix, rotation
 from quadrille.session import cut, forget, parallelism
 
-#: Tables of buckets, turned coordinates of a hash, bits of a sketch and the differing bits that two alike rows may show.
-TABLES, TURNED, BITS, DIFFER = 6, 128, 256, 50
+#: Tables of buckets, turned coordinates of a hash, which are also the bits of a sketch, and the differing bits that two alike rows may show.
+TABLES, TURNED, DIFFER = 6, 128, 28
 #: Likeliest partners that a row keeps from a bucket; rows of a bucket compared at once; share of ids that the salts are estimated from.
-PARTNERS, BUCKET, SIXTEENTH = 3, 2048, 16
-#: Rows of a pivot joined at once; equal vectors beyond which only the first ones take part; rounds of descent; changed share that ends it.
-LOCAL, COPIES, ROUNDS, REST = 8192, 12, 4, 0.002
-#: Times that the rows of a bucket above LOCAL are dealt to its blocks in each table.
-DEALS = 2
+PARTNERS, BUCKET, SIXTEENTH = 6, 2048, 16
+#: Rows of a list in the descent and equal vectors beyond which only the first ones take part; reverse neighbours of a round; share of new rows that ends it.
+WIDE, REVERSE, REST = 12, 12, 0.001
+#: Rows of a block, and of the blocks that one task holds; rows of a vector table that are turned into a matrix at once.
+PLACE, HELD, SLICE = 8192, 50_000, 1024
 #: Rows that a search keeps for each query.
-WIDE = 16
+SEARCH = 16
+#: What a cosine may lose by two bytes for a coordinate.
+LOSS = 0.001
 #: Most bits of the filter that keeps vectors without partners from being moved. Beyond its room it lets more through.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 28
 
 
-WORDS = BITS // 64
+WORDS = TURNED // 64
 _WORDS = [f"s{w}" for w in range(WORDS)]
+_BUCKETS = [f"b{t}" for t in range(TABLES)]
+_SKETCHES = [f"s{t}_{w}" for t in range(TABLES) for w in range(WORDS)]
 
 
 def _turns() -> list[tuple[np.ndarray, np.ndarray]]:
@@ -74,33 +86,48 @@ def _corner(y: np.ndarray) -> np.ndarray:
 
 
 def _buckets(x: np.ndarray, turns: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x TABLES bucket numbers, rows x 4 words of sketch)."""
-    sketch, out = np.empty((len(x), 0), np.int64), np.empty((len(x), len(turns)), np.int64)
+    """(rows x TABLES bucket numbers, rows x TABLES * WORDS words of sketch)."""
+    sketch, out = np.empty((len(x), len(turns) * WORDS), np.int64), np.empty((len(x), len(turns)), np.int32)
     for t, (r, s) in enumerate(turns):
         y, z = x @ r, x @ s
-        if t == 0:
-            sketch = np.packbits(np.concatenate([y, z], axis=1) > 0, axis=1).view(np.int64)
+        sketch[:, t * WORDS : (t + 1) * WORDS] = np.packbits(y > 0, axis=1).view(np.int64)
         out[:, t] = (t * 2 * TURNED + _corner(y)) * 2 * TURNED + _corner(z)
     return out, sketch
 
 
+def _hashes(x: np.ndarray) -> np.ndarray:
+    """A hash of each vector; equal ones have the same."""
+    return np.array([xxhash.xxh64_intdigest(r) for r in np.ascontiguousarray(x + np.float32(0))], np.uint64).view(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows with a usable vector, their unit vectors), at most SLICE at a time, whatever the size of the batches."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back at once
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            part = b.slice(at, SLICE)
+            places, x = matrix(part.column(column))
+            if len(x):
+                yield part.take(pa.array(places)), x
+
+
 def coded(rows: DataFrame) -> DataFrame:
-    """(id, bucket, s0 to s3): every usable row in its bucket of each table. rows: id, vec."""
+    """(id, v, b0 to b5, s0_0 to s5_1): every usable row with a hash of its vector, and its bucket and sketch in each table. rows: id, vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = _turns()
-        for b in batches:
-            places, x = matrix(b.column(1))
-            if not len(x):
-                continue
+        for part, x in _slices(batches, 1):
             buckets, sketch = _buckets(x, turns)
-            ids = b.column(0).to_numpy(zero_copy_only=False)[places]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, TABLES)), pa.array(buckets.ravel()), *(pa.array(np.repeat(sketch[:, w], TABLES)) for w in range(WORDS))],
-                names=["id", "bucket", *_WORDS],
-            )
+            columns = [part.column(0), pa.array(_hashes(x)), *(pa.array(np.ascontiguousarray(c)) for c in buckets.T), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "v", *_BUCKETS, *_SKETCHES])
+
+    return rows.mapInArrow(run, ", ".join(["id bigint, v bigint", *(f"{b} int" for b in _BUCKETS), *(f"{w} bigint" for w in _SKETCHES)]))
+
 
-    return rows.mapInArrow(run, "id bigint, bucket bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
+def _by_table(codes: DataFrame) -> DataFrame:
+    """(id, bucket, s0, s1): a row for each of the tables."""
+    tables = [F.struct(F.col(_BUCKETS[t]).alias("bucket"), *[F.col(f"s{t}_{w}").alias(f"s{w}") for w in range(WORDS)]) for t in range(TABLES)]
+    return codes.select("id", F.inline(F.array(*tables)))
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,27 +188,33 @@ def likely(bucket: np.ndarray, ids: np.ndarray, sketch: np.ndarray, chunk: int =
 def partners(codes: DataFrame) -> DataFrame:
     """(a, b): the rough graph. codes: what coded() gives, as a table."""
     spark = codes.sparkSession
-    rows = codes.count()
-    sampled = codes.where(F.pmod("id", F.lit(SIXTEENTH)) == 0).groupBy("bucket").count()
+    rows = codes.count() * TABLES
+    placed = _by_table(codes)
+    sampled = _by_table(codes.where(F.pmod("id", F.lit(SIXTEENTH)) == 0)).groupBy("bucket").count()
     hot = cut(sampled.where(F.col("count") * SIXTEENTH > 4 * BUCKET).select("bucket", F.ceil(F.col("count") * SIXTEENTH / BUCKET).alias("salts")))
-    tasks = max(parallelism(spark), rows // 2_000_000 + 1)
-    # The bucket, and with it the table, is part of the hash: rows parted in one table meet in another.
-    salted = codes.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("id", "bucket"), F.coalesce("salts", F.lit(1)).cast("long")))
-    # The smallest row of a hot bucket goes to all its salts, so that rows like it stay connected however they were dealt.
-    common = codes.join(hot, "bucket").groupBy("bucket").agg(F.min(F.struct("id", *_WORDS)).alias("r"), F.max("salts").alias("salts"))
-    common = common.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "r.*")
-    dealt = salted.select("bucket", "salt", "id", *_WORDS).unionByName(common).repartition(tasks, "bucket", "salt")
+    tasks = max(parallelism(spark), rows // 500_000 + 1)
+    if hot.isEmpty():
+        dealt = placed.select(F.col("bucket").cast("bigint").alias("bucket"), "id", *_WORDS)
+    else:
+        # The bucket, and with it the table, is part of the hash: rows parted in one table meet in another.
+        salted = placed.join(hot, "bucket", "left").withColumn("salt", F.pmod(F.xxhash64("id", "bucket"), F.coalesce("salts", F.lit(1)).cast("long")))
+        # The smallest row of a hot bucket goes to all its salts, so that rows like it stay connected however they were dealt.
+        common = placed.join(hot, "bucket").groupBy("bucket").agg(F.min(F.struct("id", *_WORDS)).alias("r"), F.max("salts").alias("salts"))
+        common = common.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "r.*")
+        dealt = salted.select("bucket", "salt", "id", *_WORDS).unionByName(common)
+        dealt = dealt.select((F.col("salt") * F.lit(TABLES * 4 * TURNED * TURNED) + F.col("bucket")).alias("bucket"), "id", *_WORDS)
+    dealt = dealt.repartition(tasks, "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        bucket, salt, ids = (t.column(i).to_numpy() for i in range(3))
-        a, b = likely(bucket * 1_000_003 + salt, ids, np.stack([t.column(3 + w).to_numpy() for w in range(WORDS)], axis=1))
+        a, b = likely(t.column(0).to_numpy(), t.column(1).to_numpy(), np.stack([t.column(2 + w).to_numpy() for w in range(WORDS)], axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _passing(nodes: DataFrame) -> np.ndarray:
@@ -198,183 +231,232 @@ def _passing(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
 def _candidates(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows (id, key, grp, late, vec) that the bitmap lets through, with unit vectors."""
+    """The rows (id, key, grp, late, vec, code) that the bitmap lets through: unit vectors, whole and in two bytes a coordinate."""
     passing = rows.sparkSession.sparkContext.broadcast(_passing(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = passing.value
-        for b in batches:
-            at = b.column(5).to_numpy(zero_copy_only=False) % (len(bitmap) << 6)
-            keep = (bitmap[at >> 6] >> (at & 63)) & 1 == 1
-            if not keep.any():
-                continue
-            b = b.filter(pa.array(keep))
-            places, x = matrix(b.column(4))
-            if not len(x):
-                continue
-            p = pa.array(places)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(p) for i in range(4)), lists], names=["id", "key", "grp", "late", "vec"])
-
-    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id bigint, key string, grp string, late string, vec array<float>")
-
-
-def _exact(x: np.ndarray, keys: np.ndarray, groups: np.ndarray, k: int, least: float, extra: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other, cosine) of the k best others of each row; rows come in order of their keys."""
-    rows, others, cosines = [], [], []
-    for at in range(0, len(x), 512):
-        g = np.round(x[at : at + 512] @ x.T, 5)
-        g[groups[at : at + 512, None] == groups[None]] = -2
-        wide = min(k + extra, len(x))
-        top = np.argpartition(-g, wide - 1, axis=1)[:, :wide]
-        # Where ties may reach beyond that, the smaller keys must come first.
-        best = np.sort(np.take_along_axis(g, top, 1), axis=1)
-        tied = np.nonzero((wide < len(x)) & (best[:, 0] >= best[:, -min(k, wide)] - 2e-5) & (best[:, 0] > -2))[0]
-        if len(tied):
-            top[tied] = np.argsort(-g[tied], axis=1, kind="stable")[:, :wide]
-        i, j = np.repeat(np.arange(at, at + len(g)), top.shape[1]), top.ravel()
-        near = g[i - at, j] >= least - 1e-4
-        i, j = i[near], j[near]
-        a, b = x[i].astype(np.float64), x[j].astype(np.float64)
-        c = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-        ok = c >= least
-        rows.append(i[ok]), others.append(j[ok]), cosines.append(c[ok])
-    i, j, c = np.concatenate(rows), np.concatenate(others), np.concatenate(cosines)
-    order = np.lexsort((j, -np.round(c, 12), i))
-    i, j, c = i[order], j[order], c[order]
-    start = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.empty(0, bool)
-    rank = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else i
-    return i[rank < k], j[rank < k], c[rank < k]
-
-
-_LIST = "key string, grp string, other string, other_grp string, cosine double"
-
-
-def _local_join(rows: DataFrame, k: int, least: float) -> DataFrame:
-    """Lists (key, grp, other, other_grp, cosine) from comparing all rows of each block. rows: block, key, grp, late, vec."""
-    spark = rows.sparkSession
-    dealt = rows.select("block", "key", "grp", "late", "vec").repartition(parallelism(spark), "block").sortWithinPartitions("block", "key", "late")
-
-    def one(block: list[pa.Table]) -> pa.RecordBatch | None:
-        t = pa.concat_tables(block)
-        keys = np.array(t.column("key").to_pylist(), object)
-        # The latest of a key comes last.
-        last = np.concatenate([keys[1:] != keys[:-1], [True]])
-        if not last.all():
-            t = t.filter(pa.array(last))
-        if t.num_rows < 2:
-            return None
-        x = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        keys = np.array(t.column("key").to_pylist(), object)
-        names, groups = np.unique(np.array(t.column("grp").to_pylist(), object), return_inverse=True)
-        i, j, c = _exact(x, keys, groups, k, least)
-        if not len(i):
-            return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys[i], pa.string()), pa.array(names[groups[i]], pa.string()), pa.array(keys[j], pa.string()), pa.array(names[groups[j]], pa.string()), pa.array(c)],
-            names=["key", "grp", "other", "other_grp", "cosine"],
-        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        block = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            if not t.num_rows:
-                continue
-            ids = np.array(t.column("block").to_pylist(), object)
-            ends = [0, *(np.nonzero(ids[1:] != ids[:-1])[0] + 1), len(ids)]
-            for s, e in zip(ends[:-1], ends[1:]):
-                if held and ids[s] != block:
-                    if (out := one(held)) is not None:
-                        yield out
-                    held = []
-                block = ids[s]
-                held.append(t.slice(s, e - s))
-        if held and (out := one(held)) is not None:
-            yield out
+        def kept() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column(5).to_numpy(zero_copy_only=False) % (len(bitmap) << 6)
+                keep = (bitmap[at >> 6] >> (at & 63)) & 1 == 1
+                if keep.any():
+                    yield b.filter(pa.array(keep))
 
-    return dealt.mapInArrow(run, _LIST)
+        for part, x in _slices(kept(), 4):
+            code = np.rint(x * (32_767 / np.abs(x).max(axis=1))[:, None]).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), _binary(x), _binary(code)], names=["id", "key", "grp", "late", "vec", "code"])
 
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id bigint, key string, grp string, late string, vec binary, code binary")
 
-def _shorten(lists: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("key").orderBy(F.round("cosine", 12).desc(), "other")
-    return lists.dropDuplicates(["key", "other"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
+def _top(owner: np.ndarray, other: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best others of each owner."""
+    order = np.lexsort((other, -c, owner))
+    sorted_owner = owner[order]
+    start = np.concatenate([[True], sorted_owner[1:] != sorted_owner[:-1]]) if len(order) else np.empty(0, bool)
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0)) if len(order) else order
+    return order[rank < k]
 
-@F.pandas_udf(DoubleType())
-def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = np.stack(a).astype(np.float64), np.stack(b).astype(np.float64)
-    return pd.Series(np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)))
 
+_PAIR = "u bigint, bu bigint, w bigint, bw bigint, c double"
 
-def _descend(nodes: DataFrame, lists: DataFrame, k: int, least: float) -> DataFrame:
-    """Neighbours of neighbours, compared exactly and kept where they are better, until few lists change. nodes: key, grp, vec."""
-    wide = max(2 * k, 8)
-    lists = cut(_shorten(lists, wide).withColumn("fresh", F.lit(True)))
-    for _ in range(ROUNDS):
-        both = lists.select("key", "other", "fresh").unionByName(lists.select(F.col("other").alias("key"), F.col("key").alias("other"), "fresh"))
-        a, b = both.withColumnsRenamed({"other": "u", "fresh": "f"}), both.withColumnsRenamed({"other": "w", "fresh": "g"})
-        # At least one of the two steps must be new; both ends then hear of each other.
-        met = a.join(b, "key").where("u < w and (f or g)").select("u", "w").distinct()
-        met = met.join(lists.select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("w")).distinct(), ["u", "w"], "left_anti")
-        met = met.join(nodes.select(F.col("key").alias("u"), F.col("grp").alias("ug"), F.col("vec").alias("uv")), "u")
-        met = met.join(nodes.select(F.col("key").alias("w"), F.col("grp").alias("wg"), F.col("vec").alias("wv")), "w").where("ug <> wg")
-        met = cut(met.select("u", "ug", "w", "wg", _cosine("uv", "wv").alias("cosine")).where(F.col("cosine") >= least))
-        new = met.select(F.col("u").alias("key"), F.col("ug").alias("grp"), F.col("w").alias("other"), F.col("wg").alias("other_grp"), "cosine")
-        new = new.unionByName(met.select(F.col("w").alias("key"), F.col("wg").alias("grp"), F.col("u").alias("other"), F.col("ug").alias("other_grp"), "cosine"))
-        after = cut(_shorten(lists.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True))), wide))
-        total, fresh = after.agg(F.count("*"), F.count_if("fresh")).first()
-        forget(lists), forget(met)
-        lists = after
+
+def _compared(pairs: DataFrame, nodes: DataFrame, parted: bool, n_nodes: int, column: str, least: float, k: int) -> DataFrame:
+    """(u, bu, w, bw, c): the proposed pairs (u, bu, w, bw) of different groups at least `least` alike, each row with its k best, in both directions.
+
+    A pair is compared in the block of u, where all of that block's vectors are;
+    only a pair across blocks brings w's vector along.
+    """
+    kind = np.int16 if column == "code" else np.float32
+    width = WIDTH * np.dtype(kind).itemsize
+    own = nodes.select("block", F.col("id").alias("u"), F.lit(None).cast("bigint").alias("bu"), F.lit(None).cast("bigint").alias("w"), F.lit(None).cast("bigint").alias("bw"), "g", F.col(column).alias("x"))
+    asked = pairs.select(F.col("bu").alias("block"), "u", "bu", "w", "bw")
+    none = [F.lit(None).cast("bigint").alias("g"), F.lit(None).cast("binary").alias("x")]
+    sent = asked.where("bu = bw").select("*", *none) if parted else asked.select("*", *none)
+    if parted:
+        far = asked.where("bu <> bw").join(nodes.select(F.col("id").alias("w"), "g", F.col(column).alias("x")), "w")
+        sent = sent.unionByName(far)
+    tasks = max(parallelism(nodes.sparkSession), n_nodes // HELD + 1)
+    together = own.unionByName(sent).repartition(tasks, "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        ids, groups, rows, asks, far = [], [], [], [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node = b.column(3).is_null()
+            n = b.filter(node)
+            if n.num_rows:
+                ids.append(n.column(1).to_numpy()), groups.append(n.column(5).to_numpy())
+                rows.append(np.frombuffer(b"".join(n.column(6).to_pylist()), kind).reshape(-1, WIDTH))
+            p = b.filter(pa.compute.invert(node))
+            if p.num_rows:
+                brought = p.column(6).is_valid()
+                near, other = p.filter(pa.compute.invert(brought)), p.filter(brought)
+                if near.num_rows:
+                    asks.append(np.stack([near.column(i).to_numpy() for i in range(1, 5)], axis=1))
+                if other.num_rows:
+                    far.append((np.stack([other.column(i).to_numpy() for i in range(1, 6)], axis=1), np.frombuffer(b"".join(other.column(6).to_pylist()), kind).reshape(-1, width // np.dtype(kind).itemsize)))
+        if not ids or not (asks or far):
+            return
+        ids, groups, x = np.concatenate(ids), np.concatenate(groups), np.concatenate(rows)
+        order = np.argsort(ids, kind="stable")
+        ids, groups, x = ids[order], groups[order], x[order]
+        size = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+        out = []
+
+        def compare(u: np.ndarray, w: np.ndarray, y: np.ndarray, other_size: np.ndarray, gw: np.ndarray, at_w: np.ndarray | None, ask: np.ndarray) -> None:
+            for s in range(0, len(u), 16_384):
+                e = s + 16_384
+                a = x[u[s:e]].astype(np.float64 if kind is np.float32 else np.float32)
+                b = (y[at_w[s:e]] if at_w is not None else y[s:e]).astype(a.dtype)
+                c = np.einsum("ij,ij->i", a, b).astype(np.float64) / (size[u[s:e]] * other_size[s:e])
+                ok = (c >= least) & (groups[u[s:e]] != gw[s:e])
+                out.append((ask[s:e][ok], c[ok]))
+
+        if asks:
+            ask = np.concatenate(asks)
+            iu, iw = np.searchsorted(ids, ask[:, 0]), np.searchsorted(ids, ask[:, 2])
+            # Ids of the rough graph that turned out to have no usable row are not among the nodes.
+            good = (iu < len(ids)) & (iw < len(ids))
+            good[good] = (ids[iu[good]] == ask[good, 0]) & (ids[iw[good]] == ask[good, 2])
+            ask, iu, iw = ask[good], iu[good], iw[good]
+            _, one = np.unique(iu * np.int64(len(ids)) + iw, return_index=True)
+            ask, iu, iw = ask[one], iu[one], iw[one]
+            compare(iu, iw, x, size[iw], groups[iw], iw, ask)
+        for ask, y in far:
+            iu = np.searchsorted(ids, ask[:, 0])
+            good = iu < len(ids)
+            good[good] = ids[iu[good]] == ask[good, 0]
+            y, ask, iu = y[good], ask[good], iu[good]
+            compare(iu, iu, y, np.sqrt(np.einsum("ij,ij->i", y, y, dtype=np.float64)), ask[:, 4], None, ask[:, :4])
+        pair, c = np.concatenate([o[0][:, :4] for o in out]), np.concatenate([o[1] for o in out])
+        both, c = np.concatenate([pair, pair[:, [2, 3, 0, 1]]]), np.concatenate([c, c])
+        keep = _top(both[:, 0], both[:, 2], c, k)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(both[keep, i])) for i in range(4)), pa.array(c[keep])], names=["u", "bu", "w", "bw", "c"])
+
+    return together.mapInArrow(run, _PAIR)
+
+
+def _descend(rough: DataFrame, nodes: DataFrame, parted: bool, n_nodes: int, least: float) -> DataFrame:
+    """Lists (u, bu, w, bw, c) of the WIDE best others. rough: (u, bu, w, bw)."""
+    tasks = parallelism(nodes.sparkSession)
+
+    def shortened(df: DataFrame) -> DataFrame:
+        # One shuffle by u serves both steps.
+        one = df.repartition(tasks, "u").groupBy("u", "bu", "w", "bw").agg(F.max("c").alias("c"), F.min("fresh").alias("fresh"))
+        return one.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "w"))).where(F.col("place") <= WIDE).drop("place")
+
+    lists = cut(shortened(_compared(rough, nodes, parted, n_nodes, "code", least, WIDE).withColumn("fresh", F.lit(True))))
+    turn = 0
+    while True:
+        total, fresh = lists.agg(F.count("*"), F.count_if("fresh")).first()
         if fresh <= REST * total:
-            break
-    return lists.drop("fresh")
+            return lists.drop("fresh")
+        turn += 1
+        turned = lists.select(F.col("w").alias("u"), F.col("bw").alias("bu"), F.col("u").alias("w"), F.col("bu").alias("bw"), "c", "fresh")
+        drawn = Window.partitionBy("u").orderBy(F.xxhash64("u", "w", F.lit(turn)))
+        turned = turned.withColumn("place", F.row_number().over(drawn)).where(F.col("place") <= REVERSE).drop("place")
+        # Every row asks the rows of its list for their lists and for some of the rows that list them; at least one of the two steps must be new.
+        step = lists.select("u", "bu", F.col("w").alias("v"), F.col("fresh").alias("f"))
+        near = lists.unionByName(turned).select(F.col("u").alias("v"), "w", "bw", F.col("fresh").alias("g"))
+        met = step.join(near, "v").where("u <> w and (f or g)")
+        met = met.select(*[F.when(F.col("u") < F.col("w"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("u", "w"), ("bu", "bw"), ("w", "u"), ("bw", "bu"))])
+        new = _compared(met, nodes, parted, n_nodes, "code", least, WIDE).withColumn("fresh", F.lit(True))
+        after = cut(shortened(lists.withColumn("fresh", F.lit(False)).unionByName(new)))
+        forget(lists)
+        lists = after
+
+
+def _copies(src: DataFrame, codes: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """(codes without all but the first of very many equal vectors, (key, other, cosine) of all of those), or None where there are none."""
+    often = cut(codes.groupBy("v").count().where(F.col("count") > WIDE).select("v"))
+    if often.isEmpty():
+        return None
+    ids = codes.join(often, "v", "left_semi").select("id").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _slices(batches, 4):
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(_hashes(x))], names=["id", "key", "grp", "late", "v"])
+
+    marked = src.mapInArrow(run, "id bigint, key string, grp string, late string, v bigint").join(ids, "id", "left_semi")
+    once = marked.groupBy("id", "key").agg(F.max(F.struct("late", "grp", "v")).alias("r")).select("id", "key", "r.grp", "r.v")
+    once = cut(once.join(often, "v", "left_semi"))
+    counted = once.groupBy("v").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("groups")).where((F.col("n") > WIDE) & (F.col("groups") > k))
+    counted = cut(counted.select("v", F.ceil(F.col("n") / HELD).alias("salts")))
+    many = once.join(counted, "v")
+    firsts = many.withColumn("in_group", F.row_number().over(Window.partitionBy("v", "grp").orderBy("key"))).where(F.col("in_group") <= k)
+    # The first k + 1 groups hold the k smallest keys of other groups for a row of any group.
+    heads = firsts.groupBy("v", "grp").agg(F.min("key").alias("first"))
+    heads = heads.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("first"))).where(F.col("place") <= k + 1)
+    chosen = cut(firsts.join(heads.select("v", "grp"), ["v", "grp"]).select("v", "salts", "id", "key", "grp"))
+    offered = chosen.select("v", F.col("key").alias("other"), F.col("grp").alias("other_grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    met = many.withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).join(offered, ["v", "salt"]).where("grp <> other_grp")
+    best = met.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("other"))).where(F.col("place") <= k)
+    gone = many.select("id").join(chosen.select("id"), "id", "left_anti")
+    return codes.join(gone, "id", "left_anti"), best.select("key", "other", F.lit(1.0).alias("cosine"))
 
 
 def nearest(rows: DataFrame, key: Column, grp: Column, vec: Column, late: Column, k: int = 3, least: float = 0.90) -> DataFrame:
-    """(key, other, cosine): up to k most similar vectors, of other groups and at least `least` alike, of every vector."""
+    """(key, other, cosine): up to k most similar vectors, of other groups and at least `least` alike, of every vector. k is at most WIDE."""
+    if not 0 < k <= WIDE:
+        raise ValueError(f"k must be from 1 to {WIDE}")
     src = rows.select(key.cast("string").alias("key"), grp.cast("string").alias("grp"), late.cast("string").alias("late"), vec.cast("array<float>").alias("vec")).where("key is not null and grp is not null")
     src = src.select(F.xxhash64("key").alias("id"), "key", "grp", "late", "vec")
     codes = cut(coded(src.select("id", "vec")))
+    parts = _copies(src, codes, k)
+    if parts is not None:
+        kept = cut(parts[0])
+        forget(codes)
+        codes = kept
     rough = cut(partners(codes))
     forget(codes)
     pivots = components(rough)
+
+    sizes = pivots.groupBy("component").count().where(F.col("count") > PLACE).select("component", F.ceil(F.col("count") / PLACE).alias("salts"))
+    sizes = cut(sizes)
+    parted = not sizes.isEmpty()
+    block = F.col("component")
+    if parted:
+        pivots = pivots.join(sizes, "component", "left")
+        block = F.when(F.col("salts").isNull(), block).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), "salts")))
+    placed = cut(pivots.select(F.col("node").alias("id"), block.alias("block")))
+    last = Window.partitionBy("id", "key").orderBy(F.col("late").desc_nulls_last(), F.desc("vec"))
+    found = _candidates(src, pivots.select("node")).join(placed, "id").withColumn("place", F.row_number().over(last)).where("place = 1")
+    nodes = cut(found.select("block", "id", "key", "grp", F.xxhash64("grp").alias("g"), "vec", "code"))
+    n_nodes = nodes.count()
+
+    ends = rough.join(placed.toDF("a", "bu"), "a").join(placed.toDF("b", "bw"), "b").select(F.col("a").alias("u"), "bu", F.col("b").alias("w"), "bw")
+    lists = _descend(cut(ends), nodes, parted, n_nodes, least - LOSS)
     forget(rough)
+    pairs = lists.select("u", "bu", "w", "bw").union(lists.select("w", "bw", "u", "bu")).toDF("u", "bu", "w", "bw").where("u < w").distinct()
+    exact = _compared(pairs, nodes, parted, n_nodes, "vec", least, 2 * WIDE)
+    names = nodes.select("id", "key")
+    named = exact.join(names.toDF("u", "key"), "u").join(names.toDF("w", "other"), "w").select("key", "other", F.col("c").alias("cosine"))
+    if parts is not None:
+        named = named.unionByName(parts[1])
+    return _shorten(named, k)
 
-    # Rows delivered again share their id, so a pivot is never larger than it seems here.
-    big = cut(pivots.groupBy("component").count().where(F.col("count") > LOCAL).select(F.col("component").alias("pivot")))
-    found = _candidates(src, pivots).join(pivots.withColumnsRenamed({"node": "id", "component": "pivot"}), "id").drop("id")
-    if big.isEmpty():
-        return _shorten(_local_join(found.withColumn("block", F.col("pivot").cast("string")), k, least), k).select("key", "other", "cosine")
-
-    nodes = cut(found)
-    small = nodes.join(big, "pivot", "left_anti")
-    lists = _local_join(small.withColumn("block", F.col("pivot").cast("string")), k, least)
-    large = nodes.join(big, "pivot", "left_semi")
-    last = Window.partitionBy("key").orderBy(F.col("late").desc_nulls_last(), F.xxhash64("vec"))
-    once = large.withColumn("place", F.row_number().over(last)).where("place = 1").select("key", "grp", "pivot", "vec", F.xxhash64("vec").alias("v"))
-    once = cut(once)
-    alike = once.groupBy("v", "pivot").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("groups"))
-    alike = alike.where((F.col("n") > COPIES) & (F.col("groups") > k)).select("v", "pivot", F.lit(True).alias("many"))
-    once = once.join(alike, ["v", "pivot"], "left")
-    many = once.where("many").select("v", "pivot", "key", "grp")
-    by_group = Window.partitionBy("v", "pivot", "grp").orderBy("key")
-    firsts = many.withColumn("in_group", F.row_number().over(by_group)).where(F.col("in_group") <= k)
-    # The first k + 1 groups hold the k smallest keys of other groups for a row of any group.
-    heads = firsts.groupBy("v", "pivot", "grp").agg(F.min("key").alias("first"))
-    heads = heads.withColumn("place", F.row_number().over(Window.partitionBy("v", "pivot").orderBy("first"))).where(F.col("place") <= k + 1)
-    chosen = cut(firsts.join(heads.select("v", "pivot", "grp"), ["v", "pivot", "grp"]).select("v", "pivot", "key", "grp"))
-    copies = many.join(chosen.withColumnsRenamed({"key": "other", "grp": "other_grp"}), ["v", "pivot"]).where("grp <> other_grp")
-    copies = copies.select("key", "grp", "other", "other_grp", F.lit(1.0).alias("cosine"))
-    single = once.where("many is null").unionByName(once.join(chosen.select("key"), "key", "left_semi").select(once.columns))
-    single = cut(single.select("key", "grp", "vec", F.lit(None).cast("string").alias("late")))
-    rough_lists = _local_join(_by_bucket(single), max(2 * k, 8), least)
-    lists = lists.unionByName(_descend(single.select("key", "grp", "vec"), rough_lists, k, least))
-    return _shorten(lists.unionByName(copies), k).select("key", "other", "cosine")
+
+def _shorten(lists: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("key").orderBy(F.round("cosine", 12).desc(), "other")
+    return lists.dropDuplicates(["key", "other"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+
+
+@F.pandas_udf(DoubleType())
+def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series([], dtype=float)
+    x, y = np.stack(a).astype(np.float64), np.stack(b).astype(np.float64)
+    return pd.Series(np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)))
 
 
 def search(queries: DataFrame, nodes: DataFrame, lists: DataFrame, k: int = 3, least: float = 0.90) -> DataFrame:
@@ -383,7 +465,7 @@ def search(queries: DataFrame, nodes: DataFrame, lists: DataFrame, k: int = 3, l
     queries and nodes: key, grp, vec, one row a key; lists: (key, other) of the
     graph. A query enters at the likeliest rows of its buckets, then moves along
     edges: the neighbours of the best rows that were not yet visited are
-    compared, the best WIDE stay, until no step brings anything better. Nodes
+    compared, the best SEARCH stay, until no step brings anything better. Nodes
     outside the graph have no neighbour and are not looked at.
     """
     edges = lists.select("key", "other").unionByName(lists.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
@@ -392,12 +474,12 @@ def search(queries: DataFrame, nodes: DataFrame, lists: DataFrame, k: int = 3, l
     asked = cut(queries.select("key", "grp", "vec"))
 
     def codes(df: DataFrame, key: str, vec: str, mark: str) -> DataFrame:
-        c = coded(df.select(F.xxhash64(key).alias("id"), F.col(vec).alias("vec"))).toDF(f"{mark}id", "bucket", *[f"{mark}{w}" for w in _WORDS])
+        c = _by_table(coded(df.select(F.xxhash64(key).alias("id"), F.col(vec).alias("vec")))).toDF(f"{mark}id", "bucket", *[f"{mark}{w}" for w in _WORDS])
         return c.join(df.select(F.xxhash64(key).alias(f"{mark}id"), F.col(key)), f"{mark}id")
 
     bits = sum((F.bit_count(F.col(f"q{w}").bitwiseXOR(F.col(f"n{w}"))) for w in _WORDS), F.lit(0))
-    met = codes(asked, "key", "vec", "q").join(codes(held, "other", "other_vec", "n"), "bucket").select("key", "other", bits.alias("apart")).where(F.col("apart") <= DIFFER).distinct()
-    first = met.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("apart", "other"))).where(F.col("place") <= WIDE)
+    met = codes(asked, "key", "vec", "q").join(codes(held, "other", "other_vec", "n"), "bucket").select("key", "other", bits.alias("apart")).where(F.col("apart") <= DIFFER).groupBy("key", "other").agg(F.min("apart").alias("apart"))
+    first = met.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("apart", "other"))).where(F.col("place") <= SEARCH)
 
     def compared(pairs: DataFrame) -> DataFrame:
         return pairs.join(asked, "key").join(held, "other").where("grp <> other_grp").select("key", "other", _cosine("vec", "other_vec").alias("cosine"), F.lit(True).alias("fresh"))
@@ -408,7 +490,7 @@ def search(queries: DataFrame, nodes: DataFrame, lists: DataFrame, k: int = 3, l
         new = compared(steps.join(best.select("key", "other"), ["key", "other"], "left_anti"))
         both = best.withColumn("fresh", F.lit(False)).unionByName(new)
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.round("cosine", 12).desc(), "other"))
-        after = cut(both.withColumn("place", place).where(F.col("place") <= WIDE).drop("place"))
+        after = cut(both.withColumn("place", place).where(F.col("place") <= SEARCH).drop("place"))
         forget(best)
         best = after
         # Every round must better some query's best rows, of which there are finitely many.
@@ -416,14 +498,3 @@ def search(queries: DataFrame, nodes: DataFrame, lists: DataFrame, k: int = 3, l
             break
     top = Window.partitionBy("key").orderBy(F.round("cosine", 12).desc(), "other")
     return best.where(F.col("cosine") >= least).withColumn("place", F.row_number().over(top)).where(F.col("place") <= k).select("key", "other", "cosine")
-
-
-def _by_bucket(rows: DataFrame) -> DataFrame:
-    """Each row once for every table, in the block of its bucket; rows of an overgrown bucket are dealt to blocks DEALS times, by a hash that differs for each table and deal."""
-    codes = rows.select(F.xxhash64("key").alias("id"), "vec")
-    placed = cut(coded(codes).select("id", "bucket"))
-    sizes = placed.groupBy("bucket").count().where(F.col("count") > LOCAL).select("bucket", F.ceil(F.col("count") / LOCAL).alias("salts"))
-    deals = F.sequence(F.lit(1), F.when(F.col("salts").isNull(), 1).otherwise(DEALS))
-    salt = F.pmod(F.xxhash64("id", "bucket", "deal"), F.coalesce("salts", F.lit(1)).cast("long"))
-    placed = placed.join(sizes, "bucket", "left").withColumn("deal", F.explode(deals)).select("id", F.concat_ws(":", "bucket", "deal", salt).alias("block")).distinct()
-    return rows.withColumn("id", F.xxhash64("key")).join(placed, "id").select("block", "key", "grp", "late", "vec")

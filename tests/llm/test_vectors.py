@@ -113,7 +113,7 @@ def test_neighbours_reach_nine_tenths_of_brute_force(spark):
 
 
 def test_overgrown_pivots_descend(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LOCAL", 10)
+    monkeypatch.setattr(neighbours, "PLACE", 10)
     vecs = groups(4)
     got = found(nearest(spark, vecs, F.col("tile_id")))
     want = brute_neighbours(vecs, lambda k: k, 3, 0.90)
@@ -131,7 +131,7 @@ def test_groups_are_left_out_and_copies_take_the_smallest_keys(spark):
 
 def test_copies_of_a_hot_bucket_meet_across_its_salts(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BUCKET", 8)
-    monkeypatch.setattr(neighbours, "LOCAL", 20)
+    monkeypatch.setattr(neighbours, "PLACE", 20)
     rng = np.random.default_rng(9)
     v = rng.standard_normal(WIDTH)
     vecs = {f"c{i:03d}": v for i in range(300)} | {f"y{i}": rng.standard_normal(WIDTH) for i in range(30)}
@@ -139,7 +139,7 @@ def test_copies_of_a_hot_bucket_meet_across_its_salts(spark, monkeypatch):
 
 
 def test_parted_blocks_of_an_overgrown_bucket_meet(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LOCAL", 100)
+    monkeypatch.setattr(neighbours, "PLACE", 100)
     rng = np.random.default_rng(10)
     centre = rng.standard_normal(WIDTH)
     vecs = {f"t{i:03d}": centre + 0.02 * rng.standard_normal(WIDTH) for i in range(250)}
