@@ -83,33 +83,30 @@ def _daily(spark: SparkSession, sf: str, name: str, value: str) -> DataFrame:
 DAILY = (("b3_final_table", "B33_vel_abs_p90_mm_yr"), ("b5_final_table", "B51_seasonality_p90"))
 
 
-def _each_daily(spark: SparkSession, sf: str, f) -> DataFrame:
-    a, b = (f(_daily(spark, sf, name, value)).withColumn("measure", F.lit(value)) for name, value in DAILY)
+def _both_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """(measure, split, value, run_day) of both tables, so that one selection serves both."""
+    a, b = (_daily(spark, sf, name, value).withColumn("measure", F.lit(value)) for name, value in DAILY)
     return a.unionByName(b)
 
 
 def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact percentiles per split, and per split and day."""
-
-    def both(rows: DataFrame) -> DataFrame:
-        whole = rows.select("split", F.lit(None).cast("date").alias("run_day"), F.lit("whole").alias("part"), "value")
-        # The whole and the days are sought in the same rounds, as groups of one selection.
-        one = whole.unionByName(rows.where("run_day is not null").select("split", "run_day", F.lit("day").alias("part"), "value"))
-        one = one.withColumn("run_day", F.coalesce(F.col("run_day").cast("string"), F.lit("")))
-        out = multiselect.percentiles(one, ["part", "split", "run_day"], "value")
-        return out.withColumns({"run_day": F.when(F.col("run_day") != "", F.col("run_day")), "value": F.round("value", 6)})
-
-    return _each_daily(spark, sf, both)
+    """Exact percentiles per split, and per split and day: the groups of one selection."""
+    rows = _both_daily(spark, sf)
+    whole = F.struct(F.lit("whole").alias("part"), F.lit("").alias("day"))
+    day = F.struct(F.lit("day").alias("part"), F.col("run_day").cast("string").alias("day"))
+    one = rows.select("measure", "split", "value", F.inline(F.array(whole, day))).where("day is not null")
+    out = multiselect.percentiles(one, ["measure", "part", "split", "day"], "value")
+    return out.select("measure", "part", "split", F.when(F.col("day") != "", F.col("day")).alias("run_day"), "percent", F.round("value", 6).alias("value"), "n")
 
 
 def p6_days(spark: SparkSession, sf: str) -> DataFrame:
     """Joinable summaries of each split and day: weighted values."""
-    return _each_daily(spark, sf, lambda rows: multiselect.summaries(rows, ["split", "run_day"], "value"))
+    return multiselect.summaries(_both_daily(spark, sf), ["measure", "split", "run_day"], "value")
 
 
 def p6_whole_from_days(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles per split from the days' summaries alone."""
-    return _each_daily(spark, sf, lambda rows: multiselect.percentiles(multiselect.summaries(rows, ["split", "run_day"], "value"), ["split"], "v", weight="w"))
+    return multiselect.percentiles(p6_days(spark, sf), ["measure", "split"], "v", weight="w")
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:

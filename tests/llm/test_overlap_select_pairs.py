@@ -39,6 +39,7 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
 def test_percentiles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(multiselect, "RUN", 100)
     monkeypatch.setattr(multiselect, "TOGETHER", 2)
+    monkeypatch.setattr(multiselect, "FEW", 16)
     rng = np.random.default_rng(3)
     data = {"a": rng.normal(size=1001), "b": np.round(rng.exponential(2, 700), 1), "c": np.array([5.0]), "d": np.repeat([1.0, 2.0], [10, 3])}
     rows = [(g, float(v), 1) for g, vs in data.items() for v in vs] + [("a", float("nan"), 1), ("a", None, 1), (None, 1.0, 1), ("e", None, 1), ("b", math.inf, 1)]
@@ -52,6 +53,7 @@ def test_joined_summaries_keep_their_bound(spark):
     rng = np.random.default_rng(4)
     rows = [(d, float(v)) for d in range(4) for v in rng.lognormal(d / 3, 1, 5000)]
     df = spark.createDataFrame(rows, "day int, v double").repartition(3)
+    monkeypatch.setattr(multiselect, "FAN", 3)
     days = multiselect.summaries(df, ["day"], "v", points=256)
     sizes = {r.day: r["sum(w)"] for r in days.groupBy("day").sum("w").collect()}
     assert sizes == {d: 5000 for d in range(4)} and days.groupBy("day").count().agg({"count": "max"}).first()[0] <= 256
