@@ -1,19 +1,28 @@
 """Point sets of one split that lie, wholly or for the most part, in another split.
 
-A set's fingerprint is the occupancy of the plane by its points, written as
-64-bit codes: one code for each block of 8 x 8 cells that holds a point. Code
-blocks at the same place are joined across the splits; the bits that two sets
-share, and the bits that one lacks in the other, bound how many of its points
-can have a near one there. Pairs beyond the allowed distance (in bits) fall
-away, the rest are verified point by point.
+A set's fingerprint is the occupancy of the plane by its points: a long bit
+string, one bit a cell, cut into segments of 64 bits, one for each block of
+8 x 8 cells that holds a point. Cells of an evaluation set with several points
+have them written in binary, in one segment for each binary place, so that
+shared bits count points and none hides behind another.
 
 Two points at most `near` apart may still fall in neighbouring cells. So the
 fingerprint is taken on three grids, each shifted by a third of a cell along
 both axes: a border parts the two in at most one grid per axis, hence at least
-one of the three shows them in one cell, and no pair is lost.
+one of the three shows them in one cell. If `share` of a set's points have a near
+one in another set, at least share / 3 of all its bits are therefore set there
+too, and so they are in at least one segment. Hence, and no pair is lost:
 
-A place where very many sets have a code block is salted: the blocks of one
-split are dealt over tasks, those of the other sent to each of them.
+1. segments of the same place are joined across the splits, within a Hamming
+   radius: at most 1 - share / 3 of the evaluation segment's bits may be missing
+   in the training segment;
+2. pairs with such a segment add up the shared bits of all their segments, and
+   those with fewer than share of the points fall away;
+3. the rest are verified point by point.
+
+A place where very many sets have a segment is salted: the segments of both
+splits are dealt in parts, and every part of one meets every part of the other in
+a task of its own.
 
 Defined cases: null keys and points without both coordinates are left out; a
 set without usable points overlaps nothing; a key in both splits pairs with
@@ -25,31 +34,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.session import cut
+from quadrille.session import cut, forget
 
-#: Side of a cell in multiples of the distance (more than three); code blocks of a place beyond which it is salted.
+#: Side of a cell in multiples of the distance (more than three); rows of one place on either side beyond which it is salted.
 CELL, SALTED = 12.0, 1024
 GRIDS = 3
 
 
-def fingerprints(points: DataFrame, near: float) -> DataFrame:
-    """(tile_id, grid, bx, by, bits): the code blocks of each set on each grid. points: tile_id, x, y, distinct."""
+def cells(points: DataFrame, near: float) -> DataFrame:
+    """(tile_id, grid, bx, by, bit, n): the points of each set in each cell of each grid. points: tile_id, x, y, a row for each point."""
     size = CELL * near
     at = points.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(GRIDS - 1))))
     shift = F.col("grid") * F.lit(size / GRIDS)
     cx, cy = F.floor((F.col("x") + shift) / size), F.floor((F.col("y") + shift) / size)
     at = at.select("tile_id", "grid", F.floor(cx / 8).alias("bx"), F.floor(cy / 8).alias("by"), (F.pmod(cx, F.lit(8)) * 8 + F.pmod(cy, F.lit(8))).cast("int").alias("bit"))
-    return at.groupBy("tile_id", "grid", "bx", "by").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    return at.groupBy("tile_id", "grid", "bx", "by", "bit").agg(F.count("*").alias("n"))
+
+
+PLACE = ["grid", "bx", "by"]
+
+
+def occupied(held: DataFrame) -> DataFrame:
+    """(tile_id, grid, bx, by, bits): segments with a bit for every cell that holds a point."""
+    return held.groupBy("tile_id", *PLACE).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+
+
+def counted(held: DataFrame) -> DataFrame:
+    """(tile_id, grid, bx, by, power, bits): segments for each binary place of the cells' numbers of points."""
+    power = F.explode(F.expr("filter(sequence(0, 62), p -> (shiftright(n, p) & 1) = 1)")).alias("power")
+    return held.select("tile_id", *PLACE, "bit", power).groupBy("tile_id", *PLACE, "power").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], most: int) -> DataFrame:
-    """Inner join whose right groups of more than `most` rows are dealt over several tasks, the left rows going to each."""
-    hot = right.groupBy(*on).count().where(F.col("count") > most).select(*on, F.ceil(F.col("count") / most).alias("salts"))
-    one = F.coalesce("salts", F.lit(1).cast("long"))
-    rest = [c for c in right.columns if c not in on]
-    dealt = right.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64(*rest), one)).drop("salts")
-    sent = left.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("salts")
-    return sent.join(dealt, [*on, "salt"]).drop("salt")
+    """Inner join in blocks: groups of more than `most` rows are dealt in parts on either side, and each pair of parts is a task's own."""
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*on).count().where(F.col("count") > most).select(*on, F.ceil(F.col("count") / most).alias(name))
+
+    hot = cut(sizes(left, "ls").join(sizes(right, "rs"), on, "full"))
+    if hot.isEmpty():
+        return left.join(right, on)
+    one = lambda c: F.coalesce(c, F.lit(1).cast("long"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), one(c) - 1))
+    part = lambda df, c: F.pmod(F.xxhash64(*[x for x in df.columns if x not in on]), one(c))
+    a = left.join(hot, on, "left").withColumn("i", part(left, "ls")).withColumn("j", every("rs")).drop("ls", "rs")
+    b = right.join(hot, on, "left").withColumn("j", part(right, "rs")).withColumn("i", every("ls")).drop("ls", "rs")
+    return a.join(b, [*on, "i", "j"]).drop("i", "j")
 
 
 def overlaps(points: DataFrame, splits: DataFrame, near: float, share: float, train: str = "train") -> DataFrame:
@@ -63,15 +93,17 @@ def overlaps(points: DataFrame, splits: DataFrame, near: float, share: float, tr
     own = cut(own.select("tile_id", "x", "y", F.xxhash64(*[c for c in points.columns if c != "tile_id"]).alias("point")).distinct())
     counts = own.groupBy("tile_id").agg(F.count("*").alias("n"))
 
-    codes = cut(fingerprints(own.select("tile_id", "x", "y"), near))
-    ours = codes.join(in_eval.select("tile_id").distinct(), "tile_id", "left_semi").withColumnsRenamed({"tile_id": "e", "bits": "e_bits"})
-    theirs = codes.join(in_train, "tile_id", "left_semi").withColumnsRenamed({"tile_id": "t", "bits": "t_bits"})
-    met = salted_join(ours, theirs, ["grid", "bx", "by"], SALTED).where("e <> t and (e_bits & t_bits) <> 0")
-    shared = met.groupBy("e", "t").agg(F.sum(F.expr("bit_count(e_bits & t_bits)")).alias("bits"))
-    # Points beyond one in a cell of a grid hide behind its bit; they may all be matched.
-    cells = codes.groupBy("tile_id").agg(F.sum(F.bit_count("bits")).alias("cells")).join(counts, "tile_id")
-    room = cells.select(F.col("tile_id").alias("e"), "n", (F.col("n") * GRIDS - F.col("cells")).alias("hidden"))
-    pairs = cut(shared.join(room, "e").where(F.col("bits") + F.col("hidden") >= F.col("n") * F.lit(share) - 1e-9).select("e", "t", "n"))
+    held = cut(cells(own.select("tile_id", "x", "y"), near))
+    ours = cut(counted(held.join(in_eval.select("tile_id").distinct(), "tile_id", "left_semi")).withColumnsRenamed({"tile_id": "e", "bits": "e_bits"}))
+    theirs = cut(occupied(held.join(in_train, "tile_id", "left_semi")).withColumnsRenamed({"tile_id": "t", "bits": "t_bits"}))
+    radius = F.floor(F.bit_count("e_bits") * F.lit(1 - share / GRIDS) + 1e-9)
+    met = salted_join(ours, theirs, PLACE, SALTED).where((F.col("e") != F.col("t")) & (F.expr("bit_count(e_bits & ~t_bits)") <= radius))
+    pairs = cut(met.select("e", "t").distinct())
+    shared = pairs.join(ours, "e").join(theirs, ["t", *PLACE]).groupBy("e", "t").agg(F.sum(F.expr("shiftleft(cast(bit_count(e_bits & t_bits) as bigint), power)")).alias("points"))
+    shared = shared.join(counts.withColumnRenamed("tile_id", "e"), "e")
+    pairs = cut(shared.where(F.col("points") >= F.col("n") * F.lit(share) - 1e-9).select("e", "t", "n"))
+    for table in (held, ours, theirs):
+        forget(table)
 
     size = 2 * near
     e = pairs.join(own.select(F.col("tile_id").alias("e"), "point", "x", "y"), "e")
@@ -80,7 +112,7 @@ def overlaps(points: DataFrame, splits: DataFrame, near: float, share: float, tr
     t = own.join(pairs.select(F.col("t").alias("tile_id")).distinct(), "tile_id", "left_semi")
     t = t.select(F.col("tile_id").alias("t"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    close = e.join(t, ["t", "cx", "cy"]).where(dx * dx + dy * dy <= near * near)
+    close = salted_join(e, t, ["t", "cx", "cy"], SALTED).where(dx * dx + dy * dy <= near * near)
     # A point may have many near ones: partly counted before the shuffle, each point once.
     matched = close.select("e", "t", "n", "point").distinct().groupBy("e", "t", "n").agg(F.count("*").alias("matched"))
     matched = matched.where(F.col("matched") >= F.col("n") * F.lit(share) - 1e-9)

@@ -36,6 +36,20 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_very_many_evaluation_sets_at_one_place(spark):
+    rng = random.Random(8)
+    base = [(rng.uniform(0, 40), rng.uniform(0, 40)) for _ in range(6)]
+    rows = [("train", n, *p) for n, p in enumerate(base)]
+    for i in range(3000):
+        # Six points in one or two cells, of which one in three sets holds too few near the training set's.
+        moved = [(x + (900 if i % 3 == 0 and n < 2 else 0.5), y) for n, (x, y) in enumerate(base)]
+        rows += [(f"e{i:04d}", n, *p) for n, p in enumerate(moved)]
+    points = spark.createDataFrame(rows, "tile_id string, point_idx int, x double, y double")
+    splits = spark.createDataFrame([("train", "train")] + [(f"e{i:04d}", "val") for i in range(3000)], "tile_id string, split string")
+    got = {r.eval_tile for r in overlap.overlaps(points, splits, 4.4, 0.8).collect()}
+    assert got == {f"e{i:04d}" for i in range(3000) if i % 3}
+
+
 def test_percentiles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(multiselect, "RUN", 100)
     monkeypatch.setattr(multiselect, "TOGETHER", 2)
@@ -49,7 +63,7 @@ def test_percentiles_are_exact(spark, monkeypatch):
     assert multiselect.percentiles(df.limit(0), ["g"], "v").count() == 0
 
 
-def test_joined_summaries_keep_their_bound(spark):
+def test_joined_summaries_keep_their_bound(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(d, float(v)) for d in range(4) for v in rng.lognormal(d / 3, 1, 5000)]
     df = spark.createDataFrame(rows, "day int, v double").repartition(3)
