@@ -41,26 +41,26 @@ CELL, SALTED = 12.0, 1024
 GRIDS = 3
 
 
+PLACE = ["grid", "bx", "by"]
+
+
 def cells(points: DataFrame, near: float) -> DataFrame:
-    """(tile_id, grid, bx, by, bit, n): the points of each set in each cell of each grid. points: tile_id, x, y, a row for each point."""
+    """(tile_id, grid, bx, by, bit): the cell of each point on each grid. points: tile_id, x, y, a row for each point."""
     size = CELL * near
     at = points.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(GRIDS - 1))))
     shift = F.col("grid") * F.lit(size / GRIDS)
     cx, cy = F.floor((F.col("x") + shift) / size), F.floor((F.col("y") + shift) / size)
-    at = at.select("tile_id", "grid", F.floor(cx / 8).alias("bx"), F.floor(cy / 8).alias("by"), (F.pmod(cx, F.lit(8)) * 8 + F.pmod(cy, F.lit(8))).cast("int").alias("bit"))
-    return at.groupBy("tile_id", "grid", "bx", "by", "bit").agg(F.count("*").alias("n"))
-
-
-PLACE = ["grid", "bx", "by"]
+    return at.select("tile_id", "grid", F.floor(cx / 8).alias("bx"), F.floor(cy / 8).alias("by"), (F.pmod(cx, F.lit(8)) * 8 + F.pmod(cy, F.lit(8))).cast("int").alias("bit"))
 
 
-def occupied(held: DataFrame) -> DataFrame:
-    """(tile_id, grid, bx, by, bits): segments with a bit for every cell that holds a point."""
-    return held.groupBy("tile_id", *PLACE).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+def occupied(at: DataFrame) -> DataFrame:
+    """(tile_id, grid, bx, by, bits): segments with a bit for every cell that holds a point. Points of a segment meet before the shuffle."""
+    return at.groupBy("tile_id", *PLACE).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
 
 
-def counted(held: DataFrame) -> DataFrame:
+def counted(at: DataFrame) -> DataFrame:
     """(tile_id, grid, bx, by, power, bits): segments for each binary place of the cells' numbers of points."""
+    held = at.groupBy("tile_id", *PLACE, "bit").agg(F.count("*").alias("n"))
     power = F.explode(F.expr("filter(sequence(0, 62), p -> (shiftright(n, p) & 1) = 1)")).alias("power")
     return held.select("tile_id", *PLACE, "bit", power).groupBy("tile_id", *PLACE, "power").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
 
@@ -93,17 +93,16 @@ def overlaps(points: DataFrame, splits: DataFrame, near: float, share: float, tr
     own = cut(own.select("tile_id", "x", "y", F.xxhash64(*[c for c in points.columns if c != "tile_id"]).alias("point")).distinct())
     counts = own.groupBy("tile_id").agg(F.count("*").alias("n"))
 
-    held = cut(cells(own.select("tile_id", "x", "y"), near))
-    ours = cut(counted(held.join(in_eval.select("tile_id").distinct(), "tile_id", "left_semi")).withColumnsRenamed({"tile_id": "e", "bits": "e_bits"}))
-    theirs = cut(occupied(held.join(in_train, "tile_id", "left_semi")).withColumnsRenamed({"tile_id": "t", "bits": "t_bits"}))
+    one = own.select("tile_id", "x", "y")
+    ours = cut(counted(cells(one.join(in_eval.select("tile_id").distinct(), "tile_id", "left_semi"), near)).withColumnsRenamed({"tile_id": "e", "bits": "e_bits"}))
+    theirs = cut(occupied(cells(one.join(in_train, "tile_id", "left_semi"), near)).withColumnsRenamed({"tile_id": "t", "bits": "t_bits"}))
     radius = F.floor(F.bit_count("e_bits") * F.lit(1 - share / GRIDS) + 1e-9)
     met = salted_join(ours, theirs, PLACE, SALTED).where((F.col("e") != F.col("t")) & (F.expr("bit_count(e_bits & ~t_bits)") <= radius))
     pairs = cut(met.select("e", "t").distinct())
     shared = pairs.join(ours, "e").join(theirs, ["t", *PLACE]).groupBy("e", "t").agg(F.sum(F.expr("shiftleft(cast(bit_count(e_bits & t_bits) as bigint), power)")).alias("points"))
     shared = shared.join(counts.withColumnRenamed("tile_id", "e"), "e")
     pairs = cut(shared.where(F.col("points") >= F.col("n") * F.lit(share) - 1e-9).select("e", "t", "n"))
-    for table in (held, ours, theirs):
-        forget(table)
+    forget(ours), forget(theirs)
 
     size = 2 * near
     e = pairs.join(own.select(F.col("tile_id").alias("e"), "point", "x", "y"), "e")
