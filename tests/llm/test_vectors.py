@@ -65,11 +65,21 @@ def test_components_of_chains_and_stars(spark):
 def test_clusters_match_brute_force(spark, monkeypatch):
     vecs = groups()
     for block in (1024, 16):
-        monkeypatch.setattr(gridcluster.links, "__defaults__", (block,))
+        monkeypatch.setattr(gridcluster, "BLOCK", block)
         got, _ = gridcluster.cluster(frame(spark, vecs, DIRTY + [DIRTY[0]]).unionByName(frame(spark, dict(list(vecs.items())[:5]))), 0.90)
         assert {r.tile_id: r.cluster_id for r in got.collect()} == brute_clusters(vecs, 0.90)
 
 
+def test_very_many_equal_vectors_are_one_row(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    a, b = rng.standard_normal(WIDTH), rng.standard_normal(WIDTH)
+    vecs = {f"y{i}": rng.standard_normal(WIDTH) for i in range(20)} | {"b1": b, "b2": b} | {"a_near": a + 0.1 * rng.standard_normal(WIDTH)}
+    copies = spark.range(100_000).select(F.format_string("a%06d", "id").alias("tile_id"), F.lit(0).alias("token_idx"), F.array(*[F.lit(float(np.float32(v))).cast("float") for v in a]).alias("vec"))
+    df = frame(spark, vecs).unionByName(copies, allowMissingColumns=True)
+    got, _ = gridcluster.cluster(df, 0.90)
+    assert {tuple(r) for r in got.groupBy("cluster_id").count().collect()} == {("a000000", 100_001)}
+
+
 def test_cluster_report(spark):
     vecs = {k: v for k, v in groups().items() if not k.startswith("z")}
     got, _ = gridcluster.cluster(frame(spark, vecs), 0.90)
