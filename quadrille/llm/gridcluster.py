@@ -65,10 +65,23 @@ def unit_rows(rows: DataFrame, key: str, vec: str, late: str) -> DataFrame:
 
 
 def _axes(units: DataFrame) -> np.ndarray:
-    """Leading principal axes of the sample, one a column."""
-    sample = units.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toPandas()["vec"]
-    x = np.stack([np.asarray(v, np.float64) for v in sample])
-    values, axes = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(x.shape[1]))
+    """Leading principal axes of the sample, one a column. Only its moments come to the driver."""
+    sample = units.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, product = 0, 0.0, 0.0
+        for b in batches:
+            if len(b):
+                x = np.stack(b["vec"].to_numpy()).astype(np.float64)
+                n, total, product = n + len(x), total + x.sum(axis=0), product + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "total": [total.tobytes()], "product": [product.tobytes()]})
+
+    got = sample.mapInPandas(moments, "n bigint, total binary, product binary").collect()
+    n = sum(r["n"] for r in got)
+    mean = sum(np.frombuffer(r["total"]) for r in got) / n
+    product = sum(np.frombuffer(r["product"]) for r in got).reshape(len(mean), -1)
+    values, axes = np.linalg.eigh(product / n - np.outer(mean, mean) if n > 1 else np.eye(len(mean)))
     return axes[:, ::-1][:, :AXES].astype(np.float32)
 
 
