@@ -2,7 +2,8 @@
 
 empty            nothing, blanks, or only a placeholder or marker.
 copies_question  the question again, perhaps altered in small ways, and no value.
-other_language   a sentence in another language than the question's, told by function words and script.
+other_language   a sentence in another script or language than the question's, told by Unicode's scripts and, among
+                 languages in Latin letters, by function words.
 truncated        the text breaks off where, over the whole corpus, sentences with this beginning go on:
                  termination is learned from how often each sentence beginning was closed by a full stop
                  and how often it went on, with the last three words as a fallback for beginnings
@@ -24,9 +25,10 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,10 +46,12 @@ OPENING, SHINGLE, ALIKE, RECURS = 8, 5, 0.8, 3
 HASHES, BAND = 64, 4
 #: A sentence beginning is a whole sentence if it was closed at least so often for each time that it went on.
 CLOSED = 0.1
-#: Longest question, in words, that a copy is looked for by alignment; a longer one must be the same words.
-ALIGNED = 400
+#: Part of the letters of a question and its copy that stand in the same order where single words were misspelt.
+LETTERS = 0.92
+#: Class names that the workers are sent at most, and sentences whose language a worker remembers.
+CLASSES, REMEMBERED = 50_000, 200_000
 
-#: Function words by language (fixed values); Cyrillic and Greek are told by script.
+#: Function words by language (fixed values) for those written in Latin letters; all others are told by script.
 FUNCTION_WORDS = {
     "en": "the of and is to in this that for it with what which please how i a an as on you can",
     "de": "der die das und ist für nicht den von mit in es ich sich diesem wie bitte hat bei",
@@ -60,8 +64,6 @@ FUNCTION_WORDS = {
     "pl": "i w na jest dla to ich się nie tego tym z około kilka bez do",
     "cs": "a je pro na jejich se tuto podle bylo v této přibližně bez několik není z",
     "tr": "ve için bu bir ile olarak değil göre yaklaşık birkaç kadar çok da daha gibi her",
-    "ru": "",
-    "el": "",
 }
 _LANGUAGES = list(FUNCTION_WORDS)
 _SHARED: dict[str, list[int]] = {}
@@ -93,19 +95,41 @@ def is_empty(text: str | None) -> bool:
     return not s or s in PLACEHOLDERS or _INVISIBLE.sub(" ", s.replace("_", " ")) in PLACEHOLDERS
 
 
-def language(words: list[str]) -> np.ndarray:
-    """A score for each language; a word that several share is worth a part of one for each."""
+def script(letters: str) -> str:
+    """The script of most letters, by the names that Unicode gives them."""
+    if letters.isascii():
+        return "LATIN"
+    return Counter(unicodedata.name(c, "?").split(" ", 1)[0] for c in letters).most_common(1)[0][0]
+
+
+def language(words: Sequence[str]) -> tuple[str, np.ndarray]:
+    """The script, and a score for each language; a word that several share is worth a part of one for each."""
     out = np.zeros(len(_LANGUAGES))
-    letters = "".join(words)
-    cyrillic, greek = sum("Ѐ" <= c <= "ӿ" for c in letters), sum("Ͱ" <= c <= "Ͽ" for c in letters)
-    if 2 * cyrillic > len(letters):
-        out[_LANGUAGES.index("ru")] = 2
-    elif 2 * greek > len(letters):
-        out[_LANGUAGES.index("el")] = 2
     for w in words:
         for k in (at := _SHARED.get(w, ())):
             out[k] += 1 / len(at)
-    return out
+    return script("".join(words)) if words else "", out
+
+
+class Tongues(dict):
+    """language() of word tuples, remembered."""
+
+    def __missing__(self, words: tuple[str, ...]) -> tuple[str, np.ndarray, int]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        kind, scores = language(words)
+        self[words] = out = (kind, scores, int(scores.argmax()))
+        return out
+
+    def differ(self, question: tuple[str, ...], words: tuple[str, ...]) -> bool:
+        """Whether the words are told to be in another language than the question."""
+        asked_in, asked, tongue = self[question]
+        told_in, told, best = self[words]
+        if not asked_in or len("".join(words)) < 3:
+            return False
+        if told_in != asked_in:
+            return True
+        return len(words) >= 3 and asked[tongue] >= 0.5 and best != tongue and told[best] >= 1 and told[best] >= told[tongue] + 0.75
 
 
 class Reader:
@@ -155,6 +179,19 @@ def openings(words: list[str]) -> list[tuple[str, str]]:
     return [(" ".join(s[:OPENING]), " ".join(s)) for s in flat if len(s) >= 3]
 
 
+def in_order(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest common subsequence, by whole rows of bits, so that long texts take no other way than short ones."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for y in b:
+        u = v & at.get(y, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
 def copies(question: str, text: str) -> bool:
     """The question's words again, in order, with little else."""
     q = re.findall(r"\w+", question.lower())
@@ -168,19 +205,30 @@ def copies(question: str, text: str) -> bool:
         # Nothing but the question's words, and nearly all of them, however often.
         if len(a) >= 0.7 * len(q) and len(bag & set(a)) >= 0.85 * len(bag) and sum(w in bag for w in a) >= 0.85 * len(a):
             return True
-        if len(a) > 1.4 * len(q) + 2 or len(a) < 0.7 * len(q) or len(q) > ALIGNED:
+        if len(a) > 1.4 * len(q) + 2 or len(a) < 0.7 * len(q):
             continue
-        same = sum(b.size for b in difflib.SequenceMatcher(None, q, a, autojunk=False).get_matching_blocks())
-        letters = difflib.SequenceMatcher(None, " ".join(q), " ".join(a), autojunk=False).ratio() if len(q) < 60 else 0
         # Either nearly all words in order, or nearly all letters where single words were misspelt.
-        if same >= 0.8 * len(q) and same >= 0.75 * len(a) or letters >= 0.88:
+        same = in_order(q, a)
+        if same >= 0.8 * len(q) and same >= 0.75 * len(a):
+            return True
+        x, y = " ".join(q), " ".join(a)
+        if min(len(x), len(y)) >= LETTERS / (2 - LETTERS) * max(len(x), len(y)) and 2 * in_order(x, y) >= LETTERS * (len(x) + len(y)):
             return True
     return False
 
 
+def rolling(words: Sequence[str]) -> list[int]:
+    """A hash of each beginning of the sentence, from that of the one before."""
+    out, h = [], 0
+    for w in words:
+        h = xxhash.xxh64_intdigest(w, seed=h)
+        out.append(h - (1 << 64) if h >> 63 else h)
+    return out
+
+
 _FEATURES = (
     "record_id {id}, field string, task string, answer_type string, defect string, sents array<struct<s:string,closed:boolean>>, "
-    "last string, tail string, open boolean, bare boolean, value boolean, openings array<struct<opening:string,sentence:string>>"
+    "last bigint, tail string, open boolean, bare boolean, value boolean, openings array<struct<opening:string,sentence:string>>"
 )
 
 
@@ -188,17 +236,16 @@ def features(rows: DataFrame, topics: dict[str, str], labels: dict[str, list[str
     """What can be told of each field by itself. rows: record_id, task, question, answer_type, correct_answer, llm_output."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(topics, labels)
+        reader, tongues = Reader(topics, labels), Tongues()
         for b in batches:
             out = []
             for rid, task, question, kind, *texts in b[["record_id", "task", "question", "answer_type", *FIELDS]].itertuples(index=False):
                 question = question or ""
-                asked = language(re.findall(r"[^\W\d_]+", _QUOTED.sub(" ", question.lower())))
-                tongue = int(asked.argmax()) if asked.max() >= 0.5 else -1
+                asked = tuple(re.findall(r"[^\W\d_]+", _QUOTED.sub(" ", question.lower())))
                 numbers = set(_NUMBER.findall(question))
                 for field, text in zip(FIELDS, texts):
                     if is_empty(text):
-                        out.append((rid, field, task, kind, "empty", [], "", "", False, False, False, []))
+                        out.append((rid, field, task, kind, "empty", [], 0, "", False, False, False, []))
                         continue
                     masked = reader.mask(task, question, text)
                     sents = sentences(masked)
@@ -206,19 +253,15 @@ def features(rows: DataFrame, topics: dict[str, str], labels: dict[str, list[str
                     defect = None
                     if not value and copies(question, text):
                         defect = "copies_question"
-                    elif tongue >= 0:
-                        for words, _ in sents:
-                            plain = [w for w in words if w[0].isalpha()]
-                            told = language(plain)
-                            best = int(told.argmax())
-                            if len(plain) >= 3 and best != tongue and told[best] >= 1 and told[best] >= told[tongue] + 0.75:
-                                defect = "other_language"
+                    elif any(tongues.differ(asked, tuple(w for w in words if w[0].isalpha())) for words, _ in sents):
+                        defect = "other_language"
                     words, closed = sents[-1] if sents else ([], True)
                     bare = bool(words) and len(sents) == 1 and words[0] in ("#", "<l>") and all(w in UNITS for w in words[1:])
                     # A full stop behind a number may be its decimal point.
                     opened = not closed or words[-1] == "#"
                     starts = [] if value else sorted({o for s, _ in sents for o in openings(s)})
-                    out.append((rid, field, task, kind, defect, [(" ".join(s), c) for s, c in sents], " ".join(words), " ".join(["^", *words][-3:]), opened, bare, value, starts))
+                    last = (rolling(words) or [0])[-1] if opened else 0
+                    out.append((rid, field, task, kind, defect, [(" ".join(s), c) for s, c in sents], last, " ".join(["^", *words][-3:]), opened, bare, value, starts))
             yield pd.DataFrame(out, columns=["record_id", "field", "task", "answer_type", "defect", "sents", "last", "tail", "open", "bare", "value", "openings"])
 
     return rows.mapInPandas(run, _FEATURES.format(id=rows.schema["record_id"].dataType.simpleString()))
@@ -227,13 +270,18 @@ def features(rows: DataFrame, topics: dict[str, str], labels: dict[str, list[str
 def beginnings(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For every task: (last, closed, went_on) of every sentence beginning, and the same of every three words in a row, over all texts."""
     one = seen.where("defect is null").select("task", F.inline("sents")).groupBy("task", "s", "closed").agg(F.count("*").alias("n"))
-    words = one.withColumn("w", F.split("s", " "))
-    at = words.select("task", "closed", "n", "w", F.posexplode("w").alias("i", "x"))
-    ends = F.col("i") == F.size("w") - 1
-    closed, on = F.when(ends & F.col("closed"), F.col("n")).otherwise(0), F.when(~ends, F.col("n")).otherwise(0)
-    whole = at.select("task", F.array_join(F.slice("w", F.lit(1), F.col("i") + 1), " ").alias("last"), closed.alias("c"), on.alias("o"))
-    three = at.select("task", F.array_join(F.slice(F.concat(F.array(F.lit("^")), "w"), F.greatest(F.col("i"), F.lit(1)), F.when(F.col("i") == 0, 2).otherwise(3)), " ").alias("tail"), closed.alias("c"), on.alias("o"))
-    return (whole.groupBy("task", "last").agg(F.sum("c").alias("closed"), F.sum("o").alias("went_on")), three.groupBy("task", "tail").agg(F.sum("c").alias("closed3"), F.sum("o").alias("went_on3")))
+
+    def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for task, s, closed, n in b[["task", "s", "closed", "n"]].itertuples(index=False):
+                words, end = s.split(" "), s.count(" ")
+                marked = ["^", *words]
+                rows += [(task, h, " ".join(marked[max(0, i - 1) : i + 2]), n if i == end and closed else 0, n if i != end else 0) for i, h in enumerate(rolling(words))]
+            yield pd.DataFrame(rows, columns=["task", "last", "tail", "c", "o"])
+
+    at = cut(one.mapInPandas(cuts, "task string, last bigint, tail string, c bigint, o bigint").groupBy("task", "last", "tail").agg(F.sum("c").alias("c"), F.sum("o").alias("o")))
+    return at.groupBy("task", "last").agg(F.sum("c").alias("closed"), F.sum("o").alias("went_on")), at.groupBy("task", "tail").agg(F.sum("c").alias("closed3"), F.sum("o").alias("went_on3"))
 
 
 def _signature(text: str) -> tuple[list[int], list[int]]:
@@ -308,7 +356,10 @@ def defects(records: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     keep = ["task", "question", "answer_type", *FIELDS]
     latest = records.where("record_id is not null").groupBy("record_id").agg(F.max(F.struct("evaluated_at", *keep)).alias("r")).select("record_id", *[F.col(f"r.{c}") for c in keep])
     labels = records.where("answer_type = 'categorical' and rendered_target_value is not null").groupBy("task").agg(F.collect_set("rendered_target_value").alias("names"))
-    classes = {r["task"]: [n for n in r["names"] if n.strip()] for r in labels.collect()}
+    named = cut(labels)
+    if (found := named.agg(F.sum(F.size("names"))).first()[0] or 0) > CLASSES:
+        raise ValueError(f"rendered_target_value has {found} class names, more than {CLASSES}: it holds something else than classes")
+    classes = {r["task"]: [n for n in r["names"] if n.strip()] for r in named.collect()}
     topics = {r["task_id"]: r["task_name"] for r in catalog.collect() if r["task_id"] and r["task_name"]} if catalog is not None else {}
     seen = cut(features(latest, topics, classes))
 

@@ -149,3 +149,28 @@ def test_openings_of_alike_sentences_share_a_template(spark):
         got = {r.opening: r.template for r in pairs.templates(df, block).collect()}
         assert len(got) == 6 and len({v for k, v in got.items() if k.startswith("i ")}) == 1
         assert all(got[k] == k for k in got if k.startswith("the "))
+
+
+def test_long_copies_and_other_scripts():
+    question = " ".join(f"word{i} of{i % 7}" for i in range(1000))
+    altered = " ".join(w if k % 6 else w + "x" for k, w in enumerate(question.split()))
+    assert pairs.copies(question, altered) and not pairs.copies(question, " ".join(question.split()[:500]))
+    for n in (10, 55, 70, 390, 410):
+        words = [f"term{i}" for i in range(n)]
+        assert pairs.copies(" ".join(words), " ".join(w if k % 6 != 5 else "other" for k, w in enumerate(words)))
+    tongues, asked = pairs.Tongues(), ("what", "is", "the", "mean", "velocity", "of", "this", "tile")
+    for answer in ("السرعة المتوسطة لهذا البلاط صغيرة", "此图块的平均速度很小", "середня швидкість цієї плитки невелика", "die mittlere geschwindigkeit ist hier nicht bekannt"):
+        assert tongues.differ(asked, tuple(answer.split()))
+    assert not tongues.differ(asked, ("the", "mean", "velocity", "is", "small"))
+    assert not tongues.differ((), ("die", "mittlere", "ist"))
+
+
+def test_in_order_is_the_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 12)) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert pairs.in_order(a, b) == table[-1][-1]
