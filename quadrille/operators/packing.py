@@ -1,47 +1,59 @@
 """Indexed archive containers for very many tiny files.
 
-The original bytes of the files go, one after another, into large containers;
-the index keeps of each file its path, container, block, offset, length and
-checksum, so that every file can be read back byte by byte, and any part of the
-archive in parallel. Bytes that came before, under whatever name, are stored
-once and indexed again. Beside them the point records inside the files are
-read, in any of their text forms, and kept exactly once.
+The original bytes of the files go, one after another, into blocks, the blocks
+into large containers. An archive is a folder (`write_archive`): its `blocks` are
+Parquet files, one a container and one row group a block, so that a reader takes
+single blocks and many read in parallel; its `index`, sorted by path, keeps of
+each file its path, container, block, offset, length and checksum. `lookup` finds
+paths in the index and reads their blocks alone; every file comes back byte by
+byte. Bytes that came before in the same block, under whatever name, are stored
+once and indexed again. A block is closed by its bytes or by its number of
+files, so very many empty or equal files do not make one large row.
+
+Beside them the point records inside the files are read, in any of their text
+forms, and kept exactly once.
 
 Defined cases: null content is a file of zero bytes, kept in the index with
 length -1; a null tile id is the id within the path; a file without records has
 an empty record set, which equals no other; a file row that came more than once
-counts once; extra columns are ignored.
+counts once; ids may be of any type; extra columns are ignored; an archive is
+never written over another.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.session import cut
+from quadrille.session import checkpoint_dir, cut
 from quadrille.sources.tables import tile_of_path
 
 #: Bytes of a container, and of a block, the unit that one row holds and one read fetches.
 CONTAINER, BLOCK = 128 << 20, 4 << 20
+#: Files that the index of a block holds at most; paths that a lookup looks up by pushed filters, more are joined.
+ENTRIES, FILTERED = 4096, 1000
 
 _NUMBER = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
 _LINE = rf"^\s*{_NUMBER}\s*[,;\t|]\s*{_NUMBER}\s*[,;\t|]\s*{_NUMBER}\s*$"
 
 
-def _value(line: Column, name: str, place: int) -> Column:
-    json = F.regexp_extract(line, rf'"{name}"\s*:\s*"?{_NUMBER}', 1)
-    text = F.when(line.contains("{"), json).otherwise(F.regexp_extract(line, _LINE, place))
-    return F.when(text != "", text).try_cast("double")
+def _fields(line: Column) -> Column:
+    """[point_idx, x, y] of a line as text, an empty array where it is no record."""
+    json = [F.regexp_extract(line, rf'"{name}"\s*:\s*"?{_NUMBER}', 1) for name in ("point_idx", "x", "y")]
+    plain = F.when(line.rlike(_LINE), F.split(F.trim(line), r"\s*[,;\t|]\s*")).otherwise(F.array().cast("array<string>"))
+    return F.when(line.contains("{"), F.array(*json)).otherwise(plain)
 
 
 def records(content: Column) -> Column:
     """array<struct<point_idx bigint, x double, y double>>: the distinct records of a file in order, from CSV, semicolon, tab or JSON lines."""
     lines = F.split(F.coalesce(content, F.lit("")), r"[\r\n]+")
-    read = F.transform(lines, lambda s: F.struct(_value(s, "point_idx", 1).cast("bigint").alias("point_idx"), _value(s, "x", 2).alias("x"), _value(s, "y", 3).alias("y")))
+    number = lambda p, k: F.trim(F.try_element_at(p, F.lit(k))).try_cast("double")
+    read = F.transform(F.transform(lines, _fields), lambda p: F.struct(number(p, 1).cast("bigint").alias("point_idx"), number(p, 2).alias("x"), number(p, 3).alias("y")))
     whole = F.filter(read, lambda r: r["point_idx"].isNotNull() & r["x"].isNotNull() & r["y"].isNotNull())
     return F.array_sort(F.array_distinct(whole))
 
@@ -62,8 +74,8 @@ def pack(files: DataFrame, container: int = CONTAINER, block: int = BLOCK) -> Da
     if not 0 < block <= container:
         raise ValueError("block must be positive and at most container")
     one = distinct_files(files)
-    total = one.agg(F.sum(F.octet_length(F.coalesce("content", F.lit(""))))).first()[0] or 0
-    tasks = max(1, -(-total // container))
+    total, rows = one.agg(F.sum(F.octet_length(F.coalesce("content", F.lit("")))), F.count("*")).first()
+    tasks = max(1, -(-(total or 0) // container), -(-rows // (ENTRIES * -(-container // block))))
     laid = one.repartitionByRange(tasks, "tile_id", "path", "file_id").sortWithinPartitions("tile_id", "path", "file_id")
     laid = laid.select("*", F.spark_partition_id().alias("part"))
 
@@ -79,7 +91,7 @@ def pack(files: DataFrame, container: int = CONTAINER, block: int = BLOCK) -> Da
             for fid, path, tile, content, part in b.itertuples(index=False):  # noqa: B007
                 data = b"" if content is None else content.encode("utf-8", "surrogatepass")
                 digest = hashlib.sha256(data).hexdigest()
-                if entries and len(buffer) + len(data) > block and digest not in spans:
+                if entries and (len(entries) >= ENTRIES or len(buffer) + len(data) > block and digest not in spans):
                     used += len(buffer)
                     yield full()
                     number += 1
@@ -92,12 +104,48 @@ def pack(files: DataFrame, container: int = CONTAINER, block: int = BLOCK) -> Da
         if entries:
             yield full()
 
+    kind = files.schema["file_id"].dataType.simpleString()
     return laid.mapInPandas(
         write,
-        "container_id string, block_no int, bytes binary, entries array<struct<file_id:bigint,path:string,tile_id:string,offset:int,length:int,checksum:string>>",
+        f"container_id string, block_no int, bytes binary, entries array<struct<file_id:{kind},path:string,tile_id:string,offset:int,length:int,checksum:string>>",
     )
 
 
+def write_archive(files: DataFrame, folder: str, container: int = CONTAINER, block: int = BLOCK) -> DataFrame:
+    """Write the archive of the files to a folder that does not hold one yet, and give its blocks."""
+    # A row group a block: a reader seeks to the blocks it needs.
+    pack(files, container, block).write.option("parquet.block.row.count.limit", 1).parquet(f"{folder}/blocks")
+    blocks = files.sparkSession.read.parquet(f"{folder}/blocks")
+    index(blocks).repartitionByRange("path").sortWithinPartitions("path", "file_id").write.parquet(f"{folder}/index")
+    return blocks
+
+
+def scratch_archive(files: DataFrame) -> DataFrame:
+    """The blocks of an archive in the shared folder for tables between steps."""
+    return write_archive(files, f"{checkpoint_dir(files.sparkSession)}/{uuid.uuid4().hex}")
+
+
+def lookup(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
+    """file_id, path, tile_id, content, checksum_ok of the files with these paths. Reads the index's parts and the blocks that hold them."""
+    where = spark.read.parquet(f"{folder}/index")
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    if len(paths) > FILTERED:
+        wanted = spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
+        return _cut_out(where.join(wanted, "path"), blocks)
+    hits = cut(where.where(F.col("path").isin(sorted(set(paths)))))
+    at = hits.select("container_id", "block_no").distinct().limit(FILTERED + 1).collect()
+    if len(at) <= FILTERED:
+        blocks = blocks.where(F.col("container_id").isin(sorted({r["container_id"] for r in at})) & F.col("block_no").isin(sorted({r["block_no"] for r in at})))
+    return _cut_out(hits, blocks)
+
+
+def _cut_out(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    held = entries.join(blocks.select("container_id", "block_no", "bytes"), ["container_id", "block_no"])
+    part = F.substring("bytes", F.col("offset") + 1, F.greatest("length", F.lit(0)))
+    text = F.when(F.col("length") >= 0, F.decode(part, "UTF-8"))
+    return held.select("file_id", "path", "tile_id", text.alias("content"), (F.sha2(part, 256) == F.col("checksum")).alias("checksum_ok"))
+
+
 def index(blocks: DataFrame) -> DataFrame:
     """One row per file: where it lies and what it must hash to."""
     return blocks.select("container_id", "block_no", F.inline("entries"))

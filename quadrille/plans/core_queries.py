@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.operators import near, packing
-from quadrille.session import cut
 from quadrille.sources.tables import finite, table
 
 POINT_RADIUS, TILE_RADIUS = 4.4, 1500.0
@@ -49,15 +48,15 @@ def p2_points_in_tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_archive(spark: SparkSession, sf: str) -> DataFrame:
     """The index of the packed files."""
-    return packing.index(cut(packing.pack(table(spark, sf, "tile_files"))))
+    return packing.index(packing.scratch_archive(table(spark, sf, "tile_files")))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.same_records(cut(packing.pack(table(spark, sf, "tile_files"))))
+    return packing.same_records(packing.scratch_archive(table(spark, sf, "tile_files")))
 
 
 def p7_records(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.consolidated(cut(packing.pack(table(spark, sf, "tile_files"))))
+    return packing.consolidated(packing.scratch_archive(table(spark, sf, "tile_files")))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_points_in_tiles, p7_archive, p7_found, p7_records)}

@@ -41,3 +41,31 @@ def test_same_records_and_consolidation(spark):
 
 def test_empty_table(spark):
     assert packing.index(packing.pack(files(spark).limit(0))).count() == 0
+
+
+def test_very_many_empty_files_and_ids_of_another_type(spark, monkeypatch):
+    src = spark.range(100_000).selectExpr("concat('f', id) AS file_id", "concat('p', id) AS path", "CAST(NULL AS STRING) AS tile_id", "CASE WHEN id % 2 = 0 THEN '' END AS content")
+    blocks = packing.pack(src).cache()
+    assert blocks.selectExpr("max(size(entries))").first()[0] <= packing.ENTRIES
+    assert packing.index(blocks).selectExpr("count(*)", "count(DISTINCT file_id)", "count_if(length = -1)").first()[:] == (100_000, 100_000, 50_000)
+
+
+def test_a_lookup_reads_one_block_of_a_kept_archive(spark, tmp_path):
+    rows = [(i, f"dir/{i:04d}", "T", f"{i},1,2\nä" * 3) for i in range(200)] + [(900, "dir/null", "T", None)]
+    folder = str(tmp_path / "archive")
+    blocks = packing.write_archive(spark.createDataFrame(rows, "file_id long, path string, tile_id string, content string"), folder, container=1000, block=100)
+    assert blocks.select("container_id").distinct().count() > 3
+    for paths in (["dir/0003"], ["dir/0150", "dir/null", "absent"], [f"dir/{i:04d}" for i in range(200)] * 6):
+        got = {r.path: r for r in packing.lookup(spark, folder, paths).collect()}
+        assert {p: r.content for p, r in got.items()} == {p: c for _, p, _, c in rows if p in paths} and all(r.checksum_ok for r in got.values())
+    assert packing.lookup(spark, folder, []).count() == 0
+    import pyarrow.parquet as pq
+
+    one = next(p for p in (tmp_path / "archive" / "blocks").glob("*.parquet"))
+    file = pq.ParquetFile(one)
+    assert file.num_row_groups == file.metadata.num_rows
+    try:
+        packing.write_archive(spark.createDataFrame(rows, "file_id long, path string, tile_id string, content string"), folder)
+        raise AssertionError("written over")
+    except Exception as e:
+        assert "exist" in str(e).lower()
