@@ -7,11 +7,13 @@ whatever the group's size) finds the ranks. Nulls and NaN never count.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.session import cut
 from quadrille.sources.tables import nan_to_null
 
 
@@ -42,6 +44,36 @@ def percentiles(df: DataFrame, by: Sequence[str], values: Mapping[str, Column],
     return got.groupBy(*by).agg(*wide)
 
 
+def running(df: DataFrame, order: Sequence[str], value: str, name: str) -> tuple[DataFrame, int]:
+    """(df with the inclusive running total of value along order, the whole total), by ranges of the order.
+
+    Each range adds up its own rows; only the ranges' totals, a number for each
+    task, come to the driver.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sums = sorted((r["part"], r["s"]) for r in ranged.groupBy("part").agg(F.sum(value).alias("s")).collect())
+    before, total = [], 0
+    for part, s in sums:
+        before.append((part, total))
+        total += s or 0
+    ahead = df.sparkSession.createDataFrame(before, "part int, before bigint")
+    here = F.sum(value).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = ranged.withColumn("here", here).join(ahead, "part").withColumn(name, F.col("here") + F.col("before"))
+    return out.drop("part", "here", "before"), total
+
+
+def whole_percentiles(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame:
+    """One row of percentiles() over all rows, by ranges of the values instead of one group's task; null columns where there is no value."""
+    counted = df.select(nan_to_null(F.col(value)).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    upto, total = running(counted, ["v"], "n", "upto")
+    cols = []
+    for q in qs:
+        pos = (total - 1) * float(q)
+        low, high = (F.min(F.when(F.col("upto") > int(f(pos)), F.col("v"))) for f in (math.floor, math.ceil))
+        cols.append((low + (high - low) * (pos - math.floor(pos))).alias(f"{value}_{tag(q)}"))
+    return upto.agg(*cols)
+
+
 def tag(q: float) -> str:
     return f"p{round(q * 1000) / 10:g}".replace(".", "_")
 
@@ -56,12 +88,11 @@ def gini(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def train_quantiles(df: DataFrame, columns: Mapping[str, Sequence[float]], split: str = "split", pool: Sequence[str] = ("train",)) -> DataFrame:
     """One row with `<column>_p<100q>` over the rows of the pool: class borders that other rows are held against."""
-    rows = df.where(F.col(split).isin(*pool))
-    out = None
+    rows, out = df.where(F.col(split).isin(*pool)), None
     for c, qs in columns.items():
-        one = percentiles(rows.withColumn("all", F.lit(1)), ["all"], {c: F.col(c)}, qs)
-        out = one if out is None else out.join(one, "all", "full")
-    return out.drop("all")
+        one = whole_percentiles(rows, c, qs)
+        out = one if out is None else out.join(F.broadcast(one))
+    return out
 
 
 def percentile_ranks(df: DataFrame, key: str, value: str, train: Column, midrank: bool = False) -> DataFrame:
@@ -75,10 +106,8 @@ def percentile_ranks(df: DataFrame, key: str, value: str, train: Column, midrank
     rows = df.select(key, nan_to_null(F.col(value)).alias("v"), train.alias("t")).where("v is not null")
     # Ranks are taken over counted values, so equal values meet before the sort.
     counted = rows.groupBy("v").agg(F.count_if("t").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.select("v", upto.alias("right"), (upto - F.col("n")).alias("left"))
-    total = counted.agg(F.sum("n").alias("total"))
-    joined = rows.join(placed, "v").join(F.broadcast(total))
+    upto, total = running(counted, ["v"], "n", "right")
+    joined = rows.join(upto.select("v", "right", (F.col("right") - F.col("n")).alias("left")), "v").withColumn("total", F.lit(total))
     left, right, n = F.col("left"), F.col("right"), F.nullif(F.col("total"), F.lit(0))
     if midrank:
         rank = F.least(((left + right) / 2 + 0.5) / n, F.lit(1.0))

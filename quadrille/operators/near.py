@@ -180,7 +180,7 @@ def regions_of_points(points: DataFrame, regions: DataFrame, key: str = "key", x
             yield pd.DataFrame(rows, columns=["region_id", "level", "cx", "cy", "interior", "xs", "ys"])
 
     kind = regions.schema["region_id"].dataType.simpleString()
-    cells = good.mapInPandas(cover, f"region_id {kind}, level int, cx long, cy long, interior boolean, xs array<double>, ys array<double>")
+    cells = cut(good.mapInPandas(cover, f"region_id {kind}, level int, cx long, cy long, interior boolean, xs array<double>, ys array<double>"))
     # The levels in use are few: one for each power of two between the largest and the smallest cell.
     levels = [r[0] for r in cells.select("level").distinct().collect()]
     if not levels:
@@ -188,7 +188,14 @@ def regions_of_points(points: DataFrame, regions: DataFrame, key: str = "key", x
     at = pts.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])))
     s = F.pow(F.lit(2.0), F.col("level"))
     at = at.withColumn("cx", F.floor(F.col("x") / s)).withColumn("cy", F.floor(F.col("y") / s))
-    met = at.join(cells, ["level", "cx", "cy"])
+    place = ["level", "cx", "cy"]
+    at = at.join(cells.select(*place).distinct(), place, "left_semi")
+    # The points of a crowded cell are dealt over tasks and its regions sent to each of them.
+    hot = cut(at.groupBy(*place).count().where(F.col("count") > SALTED).select(*place, F.ceil(F.col("count") / SALTED).alias("salts")))
+    one = F.coalesce("salts", F.lit(1).cast("long"))
+    at = at.join(hot, place, "left").withColumn("salt", F.pmod(F.xxhash64("key"), one)).drop("salts")
+    sent = cells.join(hot, place, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("salts")
+    met = at.join(sent, [*place, "salt"])
     sure = met.where("interior").select("region_id", "key")
 
     n = F.size("xs")

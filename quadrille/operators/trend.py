@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import stats
@@ -18,6 +18,8 @@ from quadrille.session import parallelism
 
 #: Rounds of reweighting, Huber's constant, the MAD's scale, candidates for a break, epochs kept free at either end (fixed values).
 ROUNDS, HUBER, MAD, KNOTS, MARGIN, TINY = 4, 1.345, 1.4826, 52, 36, 1e-10
+#: Bins that the years of breaks are put in (a fixed value).
+BINS = 8
 
 
 def robust(y: np.ndarray, designs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +75,7 @@ def shape(y: np.ndarray, years: np.ndarray) -> dict[str, float | str | None]:
         "break_year": float(years[at[b]]),
         "best_model": best if np.isfinite(models[best]) else None,
         "selected_year": float(years[at[c if best == "complex" else b]]),
+        **{f"bic_gain_{m}": models["linear"] - models[m] if np.isfinite(models[m]) and np.isfinite(models["linear"]) else None for m in ("quadratic", "piecewise", "complex")},
     }
 
 
@@ -82,7 +85,7 @@ def trends(medians: DataFrame, years: list[float], fewest: int = 200) -> DataFra
     medians: tile_id, split, step, y; at most one row for each step of the axis.
     """
     axis = np.asarray(years)
-    names = ["curvature", "break_strength", "break_year", "best_model", "selected_year"]
+    names = ["curvature", "break_strength", "break_year", "best_model", "selected_year", "bic_gain_quadratic", "bic_gain_piecewise", "bic_gain_complex"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -98,16 +101,40 @@ def trends(medians: DataFrame, years: list[float], fewest: int = 200) -> DataFra
 
     g = medians.groupBy("tile_id").agg(F.max("split").alias("split"), F.collect_list(F.struct("step", "y")).alias("s"))
     # A tile costs far more than its bytes tell, so the tasks are not left to their size.
-    return g.repartition(parallelism(g.sparkSession), "tile_id").mapInPandas(run, "tile_id string, split string, epochs int, curvature double, break_strength double, break_year double, best_model string, selected_year double")
+    return g.repartition(parallelism(g.sparkSession), "tile_id").mapInPandas(run, "tile_id string, split string, epochs int, curvature double, break_strength double, break_year double, best_model string, selected_year double, bic_gain_quadratic double, bic_gain_piecewise double, bic_gain_complex double")
 
 
-def classified(t: DataFrame, q: float = 0.85, fewest: int = 100) -> DataFrame:
-    """t with shape_class: strengths at or above the training tiles' q-quantile make a curve, a break, or both; null where a strength is missing."""
-    fit = t.where("split = 'train' and curvature is not null and break_strength is not null")
+def month_of(year: Column) -> tuple[Column, Column]:
+    """(yyyy-MM, months since year 0) of a calendar year with a fraction."""
+    day = F.date_add(F.make_date(F.floor(year).cast("int"), F.lit(1), F.lit(1)), F.floor((year - F.floor(year)) * 365.25).cast("int"))
+    return F.date_format(day, "yyyy-MM"), (F.year(day) * 12 + F.month(day) - 1)
+
+
+def year_bins(t: DataFrame, fit: DataFrame, year: str, bins: int = BINS) -> Column:
+    """The bin of each year between the quantiles of the fit's; between equal steps where quantiles repeat, null where the fit has fewer than five years a bin."""
+    qs = [i / bins for i in range(bins + 1)]
+    known = fit.where(F.col(year).isNotNull())
+    n = known.count()
+    if n < 5 * bins:
+        return F.lit(None).cast("string")
+    edges = list(stats.whole_percentiles(known, year, qs).first())
+    if len(set(edges)) < len(edges):
+        edges = np.linspace(edges[0], edges[-1], bins + 1).tolist()
+    at = sum((F.when(F.col(year) >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+    return F.when(F.col(year).isNotNull(), F.format_string("cp_bin_%02d", at))
+
+
+def classified(t: DataFrame, q: float = 0.85, fewest: int = 100, reference: DataFrame | None = None) -> DataFrame:
+    """t with shape_class, and year, month and bin of the breaks: strengths at or above the training tiles' q-quantile make a curve, a break, or both; null where a strength is missing.
+
+    The training tiles are those of the frozen reference where there is one.
+    """
+    fit = (t if reference is None else reference).where("split = 'train' and curvature is not null and break_strength is not null")
     if fit.limit(fewest).count() < fewest:
         raise ValueError(f"fewer than {fewest} training tiles have both strengths")
-    borders = stats.train_quantiles(fit, {"curvature": [q], "break_strength": [q]})
-    c, b = F.col("curvature") >= F.col(f"curvature_{stats.tag(q)}"), F.col("break_strength") >= F.col(f"break_strength_{stats.tag(q)}")
+    border_c, border_b = stats.train_quantiles(fit, {"curvature": [q], "break_strength": [q]}).first()
+    c, b = F.col("curvature") >= border_c, F.col("break_strength") >= border_b
     kind = F.when(b & c, "complex_trend").when(b, "stage_change").when(c, "curved_trend").otherwise("linear_trend")
-    out = t.join(F.broadcast(borders)).withColumn("shape_class", F.when(c.isNotNull() & b.isNotNull(), kind)).withColumn("change_year", F.when(b, F.col("break_year")))
-    return out.drop(f"curvature_{stats.tag(q)}", f"break_strength_{stats.tag(q)}")
+    out = t.withColumn("shape_class", F.when(c.isNotNull() & b.isNotNull(), kind)).withColumn("change_year", F.when(b, F.col("break_year")))
+    month, index = month_of(F.col("change_year"))
+    return out.withColumns({"change_month": month, "change_month_index": index, "change_bin": year_bins(out, fit.where(b).withColumn("change_year", F.col("break_year")), "change_year")})

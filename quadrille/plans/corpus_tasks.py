@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import answers, classify, stats
 from quadrille.functions.hashing import fnv1a
-from quadrille.operators import keyed, mixture, sampling, trend
+from quadrille.operators import keyed, mixture, sampling
 from quadrille.plans import tile_tasks
 from quadrille.session import cut
 from quadrille.sources.tables import clean_split, finite, nan_to_null, table, tile_of_path
@@ -36,7 +36,7 @@ def crosstab_split_class(spark: SparkSession, sf: str) -> DataFrame:
 
 def class_shares(spark: SparkSession, sf: str) -> DataFrame:
     c = _b3(spark, sf).where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
-    return c.select("kind", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9).alias("share"))
+    return c.join(F.broadcast(c.agg(F.sum("n").alias("total")))).select("kind", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
 
 
 PROFILE = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -55,10 +55,10 @@ def moments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average ranks by counted values: equal values meet before the one sorted pass over distinct ones."""
+    """Average ranks by counted values: equal values meet before the sorted ranges."""
     c = df.groupBy(value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(c.select(value, (upto - (F.col("n") - 1) / 2).alias(name)), value)
+    upto, _ = stats.running(c, [value], "n", "upto")
+    return df.join(upto.select(value, (F.col("upto") - (F.col("n") - 1) / 2).alias(name)), value)
 
 
 def correlations(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,19 +201,6 @@ def _midranks(long: DataFrame) -> DataFrame:
     return long.join(c.select("name", "v", rank.alias("rank")), ["name", "v"])
 
 
-def d1_trend(spark: SparkSession, sf: str) -> DataFrame:
-    """Curvature, break and model of each tile's median history; classes need enough training tiles (10 here)."""
-    steps = tile_tasks._steps(spark, sf)
-    med = stats.percentiles(steps, ["tile_id", "step"], {"y": F.col("y")}, [0.5]).withColumnRenamed("y_p50", "y")
-    med = med.join(tile_tasks.tiles(steps), "tile_id")
-    years = [2019.0 + (i + tile_tasks.FIRST_INDEX) * tile_tasks.STEP_DAYS / 365.25 for i in range(tile_tasks.EPOCHS)]
-    t = cut(trend.trends(med, years))
-    try:
-        return trend.classified(t, fewest=10)
-    except ValueError:
-        return t.withColumn("shape_class", F.lit(None).cast("string")).withColumn("change_year", F.lit(None).cast("double"))
-
-
 PHRASES = ("What is the {t}?", "Please report the {t}.", "How large is the {t} here?", "State the {t}.", "Which {t} would you give?")
 
 
@@ -297,7 +284,7 @@ def _categorical(spark: SparkSession, sf: str) -> DataFrame:
     names = r.select("task", F.col("rendered_target_value").alias("name")).distinct()
     text = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce("llm_output", F.lit(""))), r"[^a-z]+", " "), F.lit(" "))
     hit = F.instr(F.col("text"), F.concat(F.lit(" "), F.replace("name", F.lit("_"), F.lit(" ")), F.lit(" "))) > 0
-    met = r.select("record_id", "task", F.col("rendered_target_value").alias("gold"), text.alias("text")).join(F.broadcast(names), "task").where(hit)
+    met = r.select("record_id", "task", F.col("rendered_target_value").alias("gold"), text.alias("text")).join(names, "task").where(hit)
     best = met.groupBy("record_id").agg(F.max(F.struct(F.length("name").alias("l"), "name")).alias("b")).select("record_id", F.col("b.name").alias("pred"))
     return r.select("record_id", "task", F.col("rendered_target_value").alias("gold")).join(best, "record_id", "left").select("task", "gold", F.when(F.col("pred") == F.col("gold"), 1.0).otherwise(0.0).alias("ok"))
 
@@ -365,10 +352,11 @@ def s14_status(spark: SparkSession, sf: str, most: int = 6, starts: int = 20) ->
     s = cut(tile_tasks.s1_anchor(spark, sf).join(split, "tile_id").select("tile_id", "split", "s12_distance", "s13_margin").where("s12_distance is not null and s13_margin is not null"))
     train = s.where("split = 'train'")
     n, dm, ds, gm, gs = train.agg(F.count("*"), F.avg("s12_distance"), F.stddev_pop("s12_distance"), F.avg("s13_margin"), F.stddev_pop("s13_margin")).first()
-    if n < 10:
+    if not n:
+        # Without a training tile there is no mixture.
         return s.select("tile_id", "split", F.lit(None).cast("string").alias("s14_status"))
     x, y = (F.col("s12_distance") - dm) / (ds or 1.0), (F.col("s13_margin") - gm) / (gs or 1.0)
-    model = mixture.fit(cut(train.select(x.alias("x"), y.alias("y"))), most, starts)
+    model = mixture.fit(cut(train.select(x.alias("x"), y.alias("y"))), min(most, n), starts)
     got = cut(s.withColumn("component", mixture.component(x, y, model)))
     medians = stats.percentiles(got.where("split = 'train'"), ["component"], {"d": F.col("s12_distance"), "g": F.col("s13_margin")}, [0.5]).orderBy("component").collect()
     far, undecided = max(medians, key=lambda r: r["d_p50"])["component"], min(medians, key=lambda r: r["g_p50"])["component"]
@@ -380,9 +368,8 @@ def s14_status(spark: SparkSession, sf: str, most: int = 6, starts: int = 20) ->
 def shards(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles dealt into 8 shards of nearly equal numbers of points, by contiguous ranges of ids."""
     p = table(spark, sf, "tile_points").where("tile_id is not null").groupBy("tile_id").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("tile_id").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy())
-    return p.select("tile_id", F.floor((upto - F.col("n")) * 8 / total).cast("int").alias("shard"))
+    upto, total = stats.running(p, ["tile_id"], "n", "upto")
+    return upto.select("tile_id", F.floor((F.col("upto") - F.col("n")) * 8 / F.lit(total)).cast("int").alias("shard"))
 
 
 def rolling_mean(spark: SparkSession, sf: str) -> DataFrame:
@@ -400,7 +387,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_counts_by_split, crosstab_split_class, class_shares, describe_profile, moments, correlations, train_thresholds, calibrated_classes, strict_join_audit, key_difference,
-        repeated_keys, manifest_scan, manifest_points, token_validation, labels_wide, labels_long, label_stats, s3_gap, d1_trend, question_rows, question_counts, rendered_answers,
+        repeated_keys, manifest_scan, manifest_points, token_validation, labels_wide, labels_long, label_stats, s3_gap, question_rows, question_counts, rendered_answers,
         eval_numeric_metrics, eval_report_pivot, eval_balanced_accuracy, eval_family_macro, extract_answers, eval_value_accuracy, sample_points, sample_weighted,
         sample_balanced, question_sample_capped, epoch_batches, s14_status, shards, rolling_mean, event_windows,
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import classify, stats
 from quadrille.operators import grid, sampling, vectorops
+from quadrille.session import cut
 from quadrille.sources.tables import finite, nan_to_null, table
 
 STATICS = ("height", "rmse", "mean_velocity", "mean_velocity_std", "acceleration", "acceleration_std", "seasonality", "seasonality_std")
@@ -170,12 +171,12 @@ def c4_fast_tail(spark: SparkSession, sf: str) -> DataFrame:
 
 def c4_reference(spark: SparkSession, sf: str) -> DataFrame:
     """Quantiles of the cells' fast tails over the whole pool, and those of a log-normal bulk."""
-    cells = _fast_cells(spark, sf).select(F.lit(1).alias("g"), F.col("p90").cast("double").alias("v"))
-    pooled = stats.percentiles(cells, ["g"], {"v": F.col("v")}, [0.5, 0.75, 0.9, 0.95, 0.99])
-    logs = cells.where("v > 0").select("g", F.log("v").alias("l"))
-    ends = stats.percentiles(logs, ["g"], {"l": F.col("l")}, [0.01, 0.99])
-    bulk = logs.join(F.broadcast(ends), "g").where("l between l_p1 - 1e-12 and l_p99 + 1e-12").groupBy("g").agg(F.avg("l").alias("mu"), F.stddev_pop("l").alias("sigma"))
-    out = pooled.join(bulk, "g")
+    cells = cut(_fast_cells(spark, sf).select(F.col("p90").cast("double").alias("v")))
+    pooled = stats.whole_percentiles(cells, "v", [0.5, 0.75, 0.9, 0.95, 0.99])
+    logs = cells.where("v > 0").select(F.log("v").alias("l"))
+    ends = stats.whole_percentiles(logs, "l", [0.01, 0.99])
+    bulk = logs.join(F.broadcast(ends)).where("l between l_p1 - 1e-12 and l_p99 + 1e-12").agg(F.avg("l").alias("mu"), F.stddev_pop("l").alias("sigma"))
+    out = pooled.join(F.broadcast(bulk))
     return out.select(*[F.round(f"v_{stats.tag(q)}", 5).alias(f"pool_{stats.tag(q)}") for q in (0.5, 0.75, 0.9, 0.95, 0.99)], *[F.round(F.exp(F.col("mu") + z * F.col("sigma")), 5).alias(f"bulk_z{i}") for i, z in enumerate((0.0, 1.0, 1.645, 1.96))])
 
 
@@ -187,7 +188,7 @@ def _intensity(spark: SparkSession, sf: str) -> DataFrame:
     return b.withColumn("strong", F.coalesce(strong, F.lit(False))).withColumn("i", F.when(F.col("strong"), F.signum(v) * a))
 
 
-def d3_intensification(spark: SparkSession, sf: str, fewest: int = 30) -> DataFrame:
+def d3_intensification(spark: SparkSession, sf: str, fewest: int = 100) -> DataFrame:
     b = _intensity(spark, sf)
     gate = b.groupBy("tile_id").agg(F.max("split").alias("split"), F.count("*").alias("n"), F.count_if("strong").alias("k"))
     gate = gate.withColumn("ok", (F.col("k") >= fewest) & (F.col("k") * 10 >= F.col("n")))
@@ -207,6 +208,11 @@ def d3_intensification(spark: SparkSession, sf: str, fewest: int = 30) -> DataFr
     )
 
 
+def d3_intensification_min30(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for tiles of 30 points that move or more."""
+    return d3_intensification(spark, sf, 30)
+
+
 def d4_dominance(spark: SparkSession, sf: str) -> DataFrame:
     """Which process stands highest among the training tiles: trend, season or acceleration."""
     p = points(spark, sf, "mean_velocity", "seasonality", "acceleration")
@@ -261,7 +267,7 @@ def a1_drift_mean(spark: SparkSession, sf: str, seeds: int = 5) -> DataFrame:
     return out.select("tile_id", "split", F.round("a11", 6).alias("a11_drift"), F.col("kind").alias("a12_class"))
 
 
-STEP_DAYS, FIRST_INDEX, EPOCHS = 6.0, 8, 294
+STEP_DAYS, FIRST_INDEX, EPOCHS, T_YEAR = 6.0, 8, 294, 365.25
 
 
 def time_axis(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,40 +285,6 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
     return long.withColumn("t", (F.col("step") - (EPOCHS - 1) / 2) * STEP_DAYS / 365.25)
 
 
-def _phasors(steps: DataFrame) -> DataFrame:
-    """Of each history: a, b, the annual cosine and sine of what a straight line leaves."""
-    by = ["tile_id", "point_idx"]
-    line = steps.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("level"), F.max("split").alias("split")).where("n >= 50")
-    r = steps.drop("split").join(line, by).withColumn("r", F.col("y") - F.col("slope") * F.col("t") - F.col("level"))
-    w = 2 * F.pi() * F.col("t")
-    return r.groupBy(*by, "split").agg((2 * F.avg(F.col("r") * F.cos(w))).alias("a"), (2 * F.avg(F.col("r") * F.sin(w))).alias("b"))
-
-
-def d2_phase(spark: SparkSession, sf: str, fewest: int = 3) -> DataFrame:
-    """Coherence, dispersion and season of the annual phase over a tile's histories."""
-    z = _phasors(_steps(spark, sf))
-    g = z.groupBy("tile_id").agg(
-        F.max("split").alias("split"), F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))).alias("m")
-    )
-    r = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")) / (F.col("m") + 1e-9)
-    days = F.sqrt(-2 * F.log(F.least(F.greatest(r, F.lit(1e-9)), F.lit(1.0)))) / (2 * F.pi()) * 365.25
-    # The middle of the axis, in days of its year, turns the phase into a day.
-    middle = ((FIRST_INDEX + (EPOCHS - 1) / 2) * STEP_DAYS) % 365.25
-    day = F.pmod(F.atan2("b", "a") / (2 * F.pi()) * 365.25 + middle, F.lit(365.25))
-    season = F.when((day < 59) | (day >= 334), "winter_peak").when(day < 151, "spring_peak").when(day < 243, "summer_peak").otherwise("autumn_peak")
-    ok = lambda c: F.when(F.col("n") >= fewest, c)
-    return g.select("tile_id", "split", F.round(ok(r), 6).alias("d22_coherence"), F.round(ok(days), 4).alias("d23_dispersion_days"), F.when(ok(r) >= 0.2, season).otherwise("no_clear_seasonal_peak").alias("d21_season"))
-
-
-def d2_amplitude_change(spark: SparkSession, sf: str) -> DataFrame:
-    """Median over a tile's histories of the late minus the early annual amplitude."""
-    steps, half = _steps(spark, sf), EPOCHS // 2
-    amp = lambda df, n: _phasors(df).select("tile_id", "point_idx", "split", F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias(n))
-    both = amp(steps.where(F.col("step") < half), "early").join(amp(steps.where(F.col("step") >= half), "late").drop("split"), ["tile_id", "point_idx"])
-    q = stats.percentiles(both, ["tile_id"], {"d": F.round(F.col("late") - F.col("early"), 9)}, [0.5])
-    return tiles(both).join(q, "tile_id").select("tile_id", "split", F.round("d_p50", 6).alias("d24_change"))
-
-
 def _latest_vectors(spark: SparkSession, sf: str, which: str) -> DataFrame:
     t = table(spark, sf, "egms_tokens").where(which).where("valid and tile_id is not null and vec is not null and size(vec) = 256").where(vectorops.usable(F.col("vec")))
     return t.groupBy("tile_id", "token_idx").agg(F.max(F.struct("ingested_at", "vec", "split")).alias("r")).select("tile_id", "token_idx", F.col("r.split").alias("split"), F.col("r.vec").alias("vec"))
@@ -354,7 +326,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a1_drift, a1_drift_mean, b1_snr, b2_mean_band, b3_tails, b4_acceleration, b5_seasonality, a3_coverage, a4_noise, c1_moving_extent, c1_dominant_cell, c2_concentration,
-        c3_front, c4_fast_tail, c4_reference, d3_intensification, d4_dominance, time_axis, d2_phase, d2_amplitude_change, s1_anchor, s2_isolation,
+        c3_front, c4_fast_tail, c4_reference, d3_intensification, d3_intensification_min30, d4_dominance, time_axis, s1_anchor, s2_isolation,
         s4_dispersion, pool_cells,
     )
 }
@@ -395,12 +367,6 @@ e AS (SELECT tile_id, split, point_idx, unnest(range(0, len(ts))) step, unnest(t
 st AS (SELECT tile_id, split, point_idx, step, CAST(y0 AS DOUBLE) y, (step - 146.5) * 6.0 / 365.25 t FROM e WHERE y0 IS NOT NULL AND NOT isnan(y0))"""
 
 
-def _phasor_sql(name: str, where: str) -> str:
-    return f"""{name}l AS (SELECT tile_id, point_idx, count(*) n, regr_slope(y, t) sl, regr_intercept(y, t) ic, max(split) split FROM st WHERE {where} GROUP BY 1, 2 HAVING count(*) >= 50),
-{name} AS (SELECT st.tile_id, st.point_idx, {name}l.split, 2 * avg((y - sl * t - ic) * cos(2 * pi() * t)) a, 2 * avg((y - sl * t - ic) * sin(2 * pi() * t)) b
-  FROM st JOIN {name}l ON st.tile_id = {name}l.tile_id AND st.point_idx = {name}l.point_idx WHERE {where} GROUP BY 1, 2, 3)"""
-
-
 def _vectors_sql(where: str) -> str:
     return f"""v0 AS (SELECT tile_id, token_idx, split, CAST(vec AS DOUBLE[]) vec, ingested_at FROM egms_tokens WHERE {where} AND valid AND tile_id IS NOT NULL AND len(vec) = 256
   AND len(list_filter(vec, lambda z: z IS NULL OR NOT isfinite(z))) = 0 AND len(list_filter(vec, lambda z: z <> 0)) > 0),
@@ -454,7 +420,7 @@ SELECT {", ".join(f"(SELECT round(quantile_cont(v, {q}), 5) FROM k) pool_{stats.
     "d3_intensification": f"""WITH {P}, {_INTENSE}, q AS (SELECT tile_id, max(split) split, count(*) n, count(*) FILTER (WHERE strong) k, quantile_cont(i, 0.1) FILTER (WHERE strong) p10, quantile_cont(i, 0.5) FILTER (WHERE strong) p50, quantile_cont(i, 0.9) FILTER (WHERE strong) p90 FROM i GROUP BY 1),
 a AS (SELECT i.tile_id, avg(CASE WHEN sign(i) = sign(p50) THEN 1.0::DOUBLE ELSE 0 END) same FROM i JOIN q USING (tile_id) WHERE strong GROUP BY 1),
 c AS (SELECT tile_id, bin, count(*) n, round(avg(abs(i)), 9) hot FROM i WHERE strong GROUP BY 1, 2 HAVING count(*) >= 5), h AS (SELECT tile_id, bin, hot FROM c QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY hot DESC, n DESC, bin) = 1),
-o AS (SELECT *, q.k >= 30 AND q.k * 10 >= q.n ok FROM q LEFT JOIN a USING (tile_id) LEFT JOIN h USING (tile_id))
+o AS (SELECT *, q.k >= 100 AND q.k * 10 >= q.n ok FROM q LEFT JOIN a USING (tile_id) LEFT JOIN h USING (tile_id))
 SELECT tile_id, split, CASE WHEN ok THEN round(p50, 6) END d31_median, CASE WHEN ok AND p50 <> 0 THEN round(same, 6) END d32_agreement, CASE WHEN ok THEN round(p90 - p10, 6) END d33_spread, CASE WHEN ok THEN round(hot, 6) END d34_hotspot, coalesce(CASE WHEN ok THEN {_CELL.format('bin')} END, 'none') d35_cell FROM o""",
     "d4_dominance": f"""WITH {P}, o AS (SELECT tile_id, max(split) split, round(quantile_cont(abs(mean_velocity), 0.9), 9) a, round(quantile_cont(seasonality, 0.9), 9) b, round(quantile_cont(abs(acceleration), 0.9), 9) c FROM p GROUP BY 1),
 {", ".join(f"r{c} AS (SELECT o.tile_id, count(*) FILTER (WHERE x.{c} < o.{c}) l, count(*) FILTER (WHERE x.{c} <= o.{c}) r, count(x.{c}) n FROM o, (SELECT {c} FROM o WHERE split = 'train' AND {c} IS NOT NULL) x WHERE o.{c} IS NOT NULL GROUP BY 1)" for c in "abc")},
@@ -464,12 +430,6 @@ SELECT tile_id, split, round(trend, 6) trend, round(seasonal, 6) seasonal, round
 CASE WHEN -z[1].r < 0.3 THEN 'low_activity' WHEN -z[1].r + z[2].r >= 0.15 THEN z[1].n || '_dominant' ELSE 'mixed' END d41_process FROM m""",
     "time_axis": """WITH a AS (SELECT CAST(i AS INTEGER) step, 2019.0::DOUBLE + (i + 8) * 6.0::DOUBLE / 365.25::DOUBLE y FROM range(294) r(i))
 SELECT step, round(y, 6) AS year, strftime(make_date(CAST(floor(y) AS BIGINT), 1, 1) + CAST(floor((y - floor(y)) * 365.25) AS INTEGER), '%Y-%m') AS month FROM a""",
-    "d2_phase": f"""WITH {_AXIS}, {_phasor_sql("z", "TRUE")}, q AS (SELECT tile_id, max(split) split, count(*) n, sum(a) a, sum(b) b, sqrt(sum(a) * sum(a) + sum(b) * sum(b)) / (sum(sqrt(a * a + b * b)) + 1e-9) r FROM z GROUP BY 1),
-d AS (SELECT *, (atan2(b, a) / (2 * pi()) * 365.25 + {((FIRST_INDEX + (EPOCHS - 1) / 2) * STEP_DAYS) % 365.25} + 365.25) % 365.25 dy FROM q)
-SELECT tile_id, split, CASE WHEN n >= 3 THEN round(r, 6) END d22_coherence, CASE WHEN n >= 3 THEN round(sqrt(-2 * ln(least(greatest(r, 1e-9), 1.0))) / (2 * pi()) * 365.25, 4) END d23_dispersion_days,
-CASE WHEN n >= 3 AND r >= 0.2 THEN CASE WHEN dy < 59 OR dy >= 334 THEN 'winter_peak' WHEN dy < 151 THEN 'spring_peak' WHEN dy < 243 THEN 'summer_peak' ELSE 'autumn_peak' END ELSE 'no_clear_seasonal_peak' END d21_season FROM d""",
-    "d2_amplitude_change": f"""WITH {_AXIS}, {_phasor_sql("y", "step < 147")}, {_phasor_sql("z", "step >= 147")}
-SELECT y.tile_id, max(y.split) split, round(quantile_cont(round(sqrt(z.a * z.a + z.b * z.b) - sqrt(y.a * y.a + y.b * y.b), 9), 0.5), 6) d24_change FROM y JOIN z ON y.tile_id = z.tile_id AND y.point_idx = z.point_idx GROUP BY 1""",
     "s1_anchor": f"""WITH {_vectors_sql("token_idx = 0")}, d AS (SELECT v.tile_id, a.reference_anchor_id k, a.anchor_profile f, 1 - list_cosine_similarity(v.vec, CAST(a.vec AS DOUBLE[])) d FROM v, anchor_profiles a),
 o AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY d, k) i, lead(d) OVER (PARTITION BY tile_id ORDER BY d, k) e FROM d)
 SELECT tile_id, k s11_anchor, f s11_profile, round(d, 6) s12_distance, round(e - d, 6) s13_margin FROM o WHERE i = 1""",
@@ -485,3 +445,4 @@ SELECT tile_id, split, round(v, 6) s41_dispersion, round(g, 6) s43_gini, {_ladde
 k AS (SELECT tile_id, token_idx, count(*) n, avg(v) v, avg(r) r FROM a GROUP BY 1, 2), f AS (SELECT DISTINCT tile_id, CAST(j AS INTEGER) token_idx FROM b, range(65) w(j))
 SELECT f.tile_id, f.token_idx, n IS NOT NULL AS valid, coalesce(n, 0) point_count, round(v, 6) velocity, round(r, 6) rmse FROM f LEFT JOIN k USING (tile_id, token_idx)""",
 }
+ORACLE["d3_intensification_min30"] = ORACLE["d3_intensification"].replace("q.k >= 100", "q.k >= 30")
