@@ -117,7 +117,7 @@ def year_bins(t: DataFrame, fit: DataFrame, year: str, bins: int = BINS) -> Colu
     n = known.count()
     if n < 5 * bins:
         return F.lit(None).cast("string")
-    edges = list(stats.whole_percentiles(known, year, qs).first())
+    edges = [round(e, 9) for e in stats.whole_percentiles(known, year, qs).first()]
     if len(set(edges)) < len(edges):
         edges = np.linspace(edges[0], edges[-1], bins + 1).tolist()
     at = sum((F.when(F.col(year) >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))

@@ -292,7 +292,8 @@ _HUMAN = "replace(replace(replace({0}, '_', ' '), '|', ' / '), 'encoder', 'repre
 _ROWS = f"c AS (SELECT t.tile_id, k.task_id FROM (SELECT DISTINCT tile_id FROM split_manifest WHERE tile_id IS NOT NULL) t, task_catalog k)"
 _LABELS = "SELECT DISTINCT task, rendered_target_value AS label FROM r WHERE answer_type = 'categorical' AND rendered_target_value IS NOT NULL"
 _ARRAY = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
-_EDGES = ", ".join(f"quantile_cont(b51_p90, {i / 8}) q{i}" for i in range(1, 8))
+_EDGES = ", ".join(f"round(quantile_cont(b51_p90, {i / 8}), 9) q{i}" for i in range(9))
+_ALL_EDGES = ", ".join(f"q{i}" for i in range(9))
 
 ORACLE: dict[str, str] = {
     "run_day_stats": f"""WITH b AS (SELECT DISTINCT tile_id, run_day, {B33} v FROM b3_final_table WHERE tile_id IS NOT NULL AND {B33} IS NOT NULL AND NOT isnan({B33}))
@@ -354,6 +355,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY md5(task_id ||
 SELECT split, task_id, tile_id, phrase_id, {_HEX.format("task_id || '|' || tile_id || '|1'")} % 10 AS part FROM p WHERE task_id NOT LIKE 'X%' OR place <= 30""",
     "refusal_rows": f"""WITH {_ROWS}, x AS (SELECT tile_id, task_id, p AS phrase_id, replace({_ARRAY(WRAPPERS)}[p // 3 % 4 + 1], '{{e}}', {_ARRAY(EXAMPLES)}[p % 3 + 1]) a FROM c, range(12) g(p) WHERE task_id LIKE 'X%')
 SELECT tile_id, task_id, phrase_id, upper(a[1]) || a[2:] AS answer FROM x""",
-    "value_bins": f"""WITH b AS ({T["b5_seasonality"]}), q AS (SELECT {_EDGES}, count(b51_p90) n FROM b WHERE split = 'train')
-SELECT tile_id, CASE WHEN n >= 40 AND b51_p90 IS NOT NULL THEN 'cp_bin_0' || ({" + ".join(f"CAST(b51_p90 >= q{i} AS INTEGER)" for i in range(1, 8))}) END AS bin FROM b, q""",
+    "value_bins": f"""WITH b AS ({T["b5_seasonality"]}), q AS (SELECT {_EDGES}, count(b51_p90) n FROM b WHERE split = 'train'),
+e AS (SELECT n, CASE WHEN len(list_distinct([{_ALL_EDGES}])) = 9 THEN [{_ALL_EDGES}] ELSE [q0 + (q8 - q0) * i / 8 for i in range(9)] END w FROM q)
+SELECT tile_id, CASE WHEN n >= 40 AND b51_p90 IS NOT NULL THEN 'cp_bin_0' || ({" + ".join(f"CAST(b51_p90 >= w[{i + 1}] AS INTEGER)" for i in range(1, 8))}) END AS bin FROM b, e""",
 }
