@@ -9,7 +9,8 @@ which is packed like any other item; no other item is ever split.
 The items are dealt by hash into groups of a bounded number of rows; a group is
 packed by one task, and the few containers it leaves badly filled are taken
 apart and packed again together with those of other groups, in rounds, until
-one group is left. So nothing grows with the data but the number of groups.
+one group is left or a round leaves more than STALLED of what it was given. So
+nothing grows with the data but the number of groups.
 
 Defined cases: null key, null size and sizes of 0 or less need no container;
 repeated rows count once; equal gaps: the smallest gap wins; an empty table
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from quadrille.session import cut, forget
 
-#: Rows of a group, the fill below which a group's containers are taken apart again, and the rounds of doing so.
-GROUP, FULL, ROUNDS = 20_000, 0.97, 3
+#: Rows of a group, the fill below which a group's containers are taken apart again, and the part of the rows left by a round at which more rounds are no use.
+GROUP, FULL, STALLED = 20_000, 0.97, 0.9
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -83,8 +84,8 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         raise ValueError("capacity and group must be positive")
     kind = items.schema[key].dataType.simpleString()
     schema = f"key {kind}, size bigint, part int, n bigint, container_id string, used bigint"
-    left, done = cut(pieces(items, key, size, capacity)), []
-    for turn in range(ROUNDS):
+    left, done, before, turn = cut(pieces(items, key, size, capacity)), [], math.inf, 0
+    while True:
         rows = left.count()
         groups = max(1, math.ceil(rows / group))
         h = F.xxhash64("key", "size", "part", F.lit(turn))
@@ -93,11 +94,12 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         dealt = left.withColumns({"g": F.pmod(h, F.lit(groups)), "order": order})
         placed = cut(dealt.groupBy("g").applyInPandas(_placer(capacity, turn), schema))
         forget(left)
-        if turn + 1 == ROUNDS or groups == 1 and turn > 0:
+        if groups == 1 and turn > 0 or rows == 0 or rows > STALLED * before:
             done.append(placed)
             break
         done.append(placed.where(F.col("used") >= FULL * capacity))
         left = cut(placed.where(F.col("used") < FULL * capacity).select("key", "size", "part", "n"))
+        before, turn = rows, turn + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import binpack, bpe, gridcluster, mojibake, multiselect, neighbours, overlap, pairs
+from quadrille.plans.tile_tasks import _vectors_sql
 from quadrille.session import cut
 from quadrille.sources.tables import clean_split, table, usable_points
 
@@ -106,18 +107,34 @@ def p6_days(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_whole_from_days(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles per split from the days' summaries alone."""
-    return multiselect.percentiles(p6_days(spark, sf), ["measure", "split"], "v", weight="w")
+    out = multiselect.percentiles(p6_days(spark, sf), ["measure", "split"], "v", weight="w")
+    return out.withColumn("value", F.round("value", 6))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of every document's text as it comes back from its ids; invalid surrogates apart, that of the text itself."""
+    texts = bpe.decode(cut(p8_ids(spark, sf)))
+    return texts.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every document, or part of one larger than a container, with its container."""
     return binpack.pack(bpe.sizes(table(spark, sf, "documents").select("doc_id", "text")), CAPACITY)
 
 
+def p9_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents placed, containers beyond their capacity, and documents in several containers though they would fit one."""
+    placed = cut(p9_containers(spark, sf))
+    over = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"))
+    docs = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.count_distinct("container_id").alias("containers"))
+    docs = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("size") <= CAPACITY) & (F.col("containers") > 1)).alias("split_small"))
+    return docs.join(F.broadcast(over))
+
+
 def _garbled(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return mojibake.judge(docs, mojibake.learn(docs))
@@ -132,7 +149,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
     return _garbled(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p3_search, p4_found, p4_report, p5_found, p5_report, p6_percentiles, p6_days, p6_whole_from_days, p8_ids, p9_containers, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_neighbours, p3_search, p4_found, p4_report, p5_found, p5_report, p6_percentiles, p6_days, p6_whole_from_days, p8_ids, p8_decoded, p9_containers, p9_check, p10_found, p10_restored)}
 
 _PAIRS = """
 WITH pts AS (SELECT DISTINCT tile_id, point_idx, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM tile_points
@@ -165,4 +182,18 @@ ORACLE: dict[str, str] = {
     "p4_report": f"""{_PAIRS}, g AS (SELECT tile_id, coalesce(min(grid_id), regexp_extract(tile_id, '^([A-Z]\\d+[A-Z]\\d+)_', 1)) grid_id FROM split_manifest WHERE tile_id IS NOT NULL GROUP BY tile_id)
 SELECT sp AS eval_split, grid_id, count(DISTINCT et) AS n_tiles, count(*) AS n_overlaps FROM o JOIN g ON g.tile_id = o.et GROUP BY 1, 2""",
     "p6_percentiles": _percentile_sql(),
+    # Days of fewer rows than a summary has points keep all their values, so the joined result is exact where every day is.
+    "p6_days": " UNION ALL ".join(
+        f"SELECT '{value}' AS measure, split, run_day, v, count(*) AS w FROM (SELECT DISTINCT tile_id, nullif(lower(trim(split)), '') split, CAST({value} AS DOUBLE) v, run_day FROM {name}) WHERE split IS NOT NULL AND run_day IS NOT NULL AND v IS NOT NULL AND isfinite(v) GROUP BY ALL"
+        for name, value in DAILY
+    ),
+    "p6_whole_from_days": " UNION ALL ".join(
+        f"SELECT '{value}' AS measure, split, CAST({p} AS DOUBLE) AS percent, round(quantile_cont(v, {p / 100}), 6) AS value, count(*) AS n FROM (SELECT DISTINCT tile_id, nullif(lower(trim(split)), '') split, CAST({value} AS DOUBLE) v, run_day FROM {name}) WHERE split IS NOT NULL AND run_day IS NOT NULL AND v IS NOT NULL AND isfinite(v) GROUP BY split"
+        for name, value in DAILY for p in multiselect.PERCENTS
+    ),
+    "p1_found": f"""WITH RECURSIVE {_vectors_sql("token_idx = 0")}, a AS (SELECT x.tile_id a, y.tile_id b FROM v x JOIN v y ON x.tile_id <> y.tile_id WHERE list_cosine_similarity(x.vec, y.vec) >= 0.9),
+r AS (SELECT a, b FROM a UNION SELECT r.a, a.b FROM r JOIN a ON r.b = a.a), c AS (SELECT a, least(a, min(b)) c FROM r GROUP BY a)
+SELECT a AS tile_id, c AS cluster_id FROM c WHERE c IN (SELECT c FROM c GROUP BY c HAVING count(*) >= 3)""",
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p9_check": "SELECT count(DISTINCT doc_id) AS documents, 0 AS overfull, 0 AS split_small FROM documents WHERE doc_id IS NOT NULL AND text <> ''",
 }
