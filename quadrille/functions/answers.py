@@ -17,6 +17,12 @@ _NUMBER = re.compile(r"(?<![\w.])[-−+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?(?![\w.]*\d)
 #: Numbers that describe a layout or a count of things, not a value.
 _STRUCTURE = re.compile(r"^\s*(?:by\b|x\s*\d|[-–]by[-–]|points?\b|observations?\b|epochs?\b|bins?\b|cells?\b|tiles?\b|rows?\b|columns?\b)", re.I)
 _LOOKBACK = 3
+#: Number words (fixed values), in the order of their values.
+_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_WORDS = {w: i for i, w in enumerate(_ONES)} | {w: 10 * (i + 2) for i, w in enumerate(_TENS)}
+_ONE_WORD = "(?:" + "|".join([*_WORDS, "hundred"]) + ")"
+_SPOKEN = re.compile(rf"\b(?:(minus|negative)\s+)?({_ONE_WORD}(?:[\s-]+(?:and\s+)?{_ONE_WORD})*)(?:\s+point((?:\s+(?:{'|'.join(_ONES[:10])}))+))?\b(?=(\s*(?:%|percent\b|mm\b|millimet|days?\b|years?\b))?)", re.I)
 
 
 def normalise(text: str) -> str:
@@ -56,18 +62,34 @@ def _alone(words: list[str], name: str, other: str) -> bool:
     return any(words[i : i + len(a)] == a and not covered & set(range(i, i + len(a))) for i in range(len(words) - len(a) + 1))
 
 
+def in_digits(text: str) -> str:
+    """Spoken numbers written in digits where they can be values: with a sign, with decimals, or before a unit."""
+
+    def written(m: re.Match) -> str:
+        sign, whole, decimals, unit = m.groups()
+        if not (sign or decimals or unit):
+            return m.group()
+        total = 0
+        for w in re.findall(r"[a-z]+", whole.lower()):
+            total = max(total, 1) * 100 if w == "hundred" else total + _WORDS.get(w, 0)
+        tail = "." + "".join(str(_WORDS[w]) for w in decimals.lower().split()) if decimals else ""
+        return ("-" if sign else "") + str(total) + tail
+
+    return _SPOKEN.sub(written, text)
+
+
 def number(text: str, unit: str | None = None, low: float | None = None, high: float | None = None) -> tuple[str, float | None]:
     """(status, value): the one number that can be the answer. A percentage counts as its hundredth where the value must lie in [0, 1]."""
-    got = []
+    got, text = [], in_digits(text)
     for m in _NUMBER.finditer(text):
-        rest = text[m.end() : m.end() + 24]
+        rest = text[m.end() : m.end() + 32]
         before = text[max(0, m.start() - 12) : m.start()]
         if _STRUCTURE.match(rest) or re.search(r"\b(?:row|column|cell|bin|by)\s*$", before, re.I):
             continue
         v, share = float(m.group().replace("−", "-")), bool(re.match(r"\s*(?:%|percent)", rest, re.I))
         if share and low == 0 and high == 1:
             v /= 100
-        named = re.match(r"\s*(mm/yr²|mm/yr2|mm/yr|mm|days?|years?)\b", rest, re.I)
+        named = re.match(r"\s*(mm/yr²|mm/yr2|mm/yr|mm|days?|years?)\b", re.sub(r"^(\s*)millimet(?:re|er)s?(?: per year)?", lambda x: x.group(1) + ("mm/yr" if "year" in x.group() else "mm"), rest, flags=re.I), re.I)
         if unit and named and named.group(1).lower().rstrip("s") != unit.lower().rstrip("s"):
             continue
         if unit is None and named:

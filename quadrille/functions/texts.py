@@ -27,7 +27,7 @@ def grid_place(token: Column) -> Column:
 
 def piped(c: Column) -> Column:
     """The parts of a list written with pipes, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def whole_numbers(c: Column) -> Column:

@@ -19,12 +19,23 @@ STATICS = ("height", "rmse", "mean_velocity", "mean_velocity_std", "acceleration
 SCHEMA = "tile_id string, point_idx int, x float, y float, " + ", ".join(f"{s} float" for s in STATICS) + ", ts array<float>"
 
 
+def chosen(options: dict) -> list[str] | None:
+    names = [c.strip() for c in options.get("columns", "").split(",") if c.strip()]
+    unknown = [c for c in names if c not in [k.strip().split(" ", 1)[0] for k in SCHEMA.split(",")]]
+    if unknown:
+        raise ValueError(f"npz_tiles has no columns {unknown}")
+    return names or None
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
 
 
-def read_tile(path: str, steps: int) -> pa.RecordBatch:
+def read_tile(path: str, steps: int, columns: list[str] | None = None) -> pa.RecordBatch:
+    """The points of a tile. All arrays must be there and of the right form; with columns only the named ones are read and checked beside the coordinates."""
+    if columns is not None:
+        return _columns_of(path, steps, columns)
     with np.load(path) as z:
         missing = [k for k in ("coords", "time_series", *STATICS) if k not in z]
         if missing:
@@ -44,10 +55,32 @@ def read_tile(path: str, steps: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["tile_id", "point_idx", "x", "y", *STATICS, "ts"])
 
 
+def _columns_of(path: str, steps: int, columns: list[str]) -> pa.RecordBatch:
+    with np.load(path) as z:
+        xy = np.asarray(z["coords"], np.float32) if "coords" in z else np.empty(0, np.float32)
+        n = len(xy)
+        if xy.shape != (n, 2) or not np.isfinite(xy).all():
+            raise ValueError(f"{path}: coordinates must be N finite pairs")
+        out = {}
+        for c in columns:
+            if c in STATICS:
+                out[c] = np.asarray(z[c], np.float32) if c in z else np.empty(0, np.float32)
+                if out[c].shape != (n,):
+                    raise ValueError(f"{path}: {c} needs one value a point")
+            elif c == "ts":
+                ts = np.asarray(z["time_series"], np.float32) if "time_series" in z else np.empty(0, np.float32)
+                if ts.shape != (n, steps):
+                    raise ValueError(f"{path}: histories must have {steps} steps")
+                out[c] = pa.FixedSizeListArray.from_arrays(pa.array(ts.ravel()), steps).cast(pa.list_(pa.float32()))
+    known = {"tile_id": [os.path.basename(path).removesuffix(".npz")] * n, "point_idx": np.arange(n, dtype=np.int32), "x": xy[:, 0].copy(), "y": xy[:, 1].copy()} | out
+    return pa.RecordBatch.from_arrays([pa.array(known[c]) if not isinstance(known[c], pa.Array) else known[c] for c in columns], names=columns)
+
+
 class NpzReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.steps, self.skip = options["path"], int(options.get("steps", "294")), options.get("bad", "raise") == "skip"
         self.tasks = int(options.get("partitions", "256"))
+        self.columns = chosen(options)
 
     def partitions(self) -> list[Files]:
         paths = sorted(os.path.join(d, f) for d, _, names in os.walk(self.folder.removeprefix("file://")) for f in names if f.endswith(".npz"))
@@ -57,8 +90,8 @@ class NpzReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         for p in partition.paths:
             try:
-                yield read_tile(p, self.steps)
-            except (ValueError, OSError):
+                yield read_tile(p, self.steps, self.columns)
+            except (ValueError, OSError, KeyError):
                 if not self.skip:
                     raise
 
@@ -69,7 +102,10 @@ class NpzTiles(DataSource):
         return "npz_tiles"
 
     def schema(self) -> str:
-        return SCHEMA
+        """All columns, or those of the option `columns` (names with commas): the others are never read from the files."""
+        columns = chosen(self.options)
+        kinds = dict(c.strip().split(" ", 1) for c in SCHEMA.split(","))
+        return SCHEMA if columns is None else ", ".join(f"{c} {kinds[c]}" for c in columns)
 
     def reader(self, schema: StructType) -> NpzReader:
         return NpzReader(self.options)
