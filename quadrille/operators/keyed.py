@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,3 +55,27 @@ def checked_join(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> Data
     whole = F.col("_l").isNotNull() & F.col("_r").isNotNull() & (F.col("_n") == 1)
     fail = F.raise_error(F.concat(F.lit("tables do not share their keys at "), F.coalesce(F.concat_ws(", ", *keys), F.lit("null")))).cast("boolean")
     return j.where(F.when(whole, True).otherwise(fail)).drop("_l", "_r", "_n")
+
+
+def assemble(tables: Mapping[str, DataFrame], keys: Sequence[str] = KEYS) -> DataFrame:
+    """All columns of any number of tables in one row a key; the rows raise when the query runs unless every table holds each key once.
+
+    The tables are stacked and shuffled together once, whatever their number.
+    Their columns must have different names beside the keys.
+    """
+    names = [c for t in tables.values() for c in t.columns if c not in keys]
+    if len(names) != len(set(names)):
+        raise ValueError(f"columns {sorted({c for c in names if names.count(c) > 1})} are in several tables")
+    stacked = None
+    for i, t in enumerate(tables.values()):
+        one = t.withColumn("_t", F.lit(i))
+        stacked = one if stacked is None else stacked.unionByName(one, allowMissingColumns=True)
+    counts = [F.count_if(F.col("_t") == i).alias(f"_n{i}") for i in range(len(tables))]
+    # A key's columns come from one row each: the largest value is the only one that is not null.
+    one = stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in names], *counts)
+    bad = [F.when((F.col(f"_n{i}") != 1) | F.col(keys[0]).isNull(), F.lit(n)) for i, n in enumerate(tables)]
+    where = F.concat(F.lit("tables do not share the key "), F.coalesce(F.concat_ws(", ", *keys), F.lit("null")), F.lit(": "), F.concat_ws(", ", *bad))
+    whole = F.concat_ws("", *bad) == ""
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    return one.where(F.when(whole, True).otherwise(F.raise_error(where).cast("boolean"))).select(*keys, *names)

@@ -128,11 +128,10 @@ def token_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 def labels_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Targets of all tiles with a split in one table, joined only if their keys agree."""
-    parts = [
-        f(spark, sf).where("split is not null")
-        for f in (tile_tasks.b3_tails, tile_tasks.b4_acceleration, tile_tasks.b5_seasonality, tile_tasks.a4_noise, tile_tasks.c1_moving_extent, tile_tasks.c2_concentration)
-    ]
-    return reduce(keyed.checked_join, parts)
+    # The points are read and cleared of repeats once, and the tables put together in one shuffle.
+    p = cut(tile_tasks.points(spark, sf, "x", "y", "mean_velocity", "rmse", "acceleration", "seasonality"))
+    parts = (tile_tasks.b3_tails, tile_tasks.b4_acceleration, tile_tasks.b5_seasonality, tile_tasks.a4_noise, tile_tasks.c1_moving_extent, tile_tasks.c2_concentration)
+    return keyed.assemble({f.__name__: f(spark, sf, p).where("split is not null") for f in parts})
 
 
 def _long(wide: DataFrame) -> DataFrame:

@@ -25,15 +25,17 @@ COHERENCE = ("spatially_coherent", "weak_local_structure", "clear_local_structur
 FAST = 4.8
 
 
-def points(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """The latest delivery of each point with the named values, NaN as null. Only those columns are read and moved."""
+def points(spark: SparkSession, sf: str, *columns: str, p: DataFrame | None = None) -> DataFrame:
+    """The latest delivery of each point with the named values, NaN as null. Only those columns are read and moved; p: what was made of the table before."""
+    if p is not None:
+        return p.select("tile_id", "point_idx", "split", *columns)
     raw = table(spark, sf, "tile_points").where("tile_id is not null and point_idx is not null")
     last = raw.groupBy("tile_id", "point_idx").agg(F.max(F.struct("ingested_at", *columns, "split")).alias("r"))
     return last.select("tile_id", "point_idx", F.col("r.split").alias("split"), *[nan_to_null(F.col(f"r.{c}")).alias(c) for c in columns])
 
 
-def placed(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return points(spark, sf, "x", "y", *columns).where(finite(F.col("x")) & finite(F.col("y")))
+def placed(spark: SparkSession, sf: str, *columns: str, p: DataFrame | None = None) -> DataFrame:
+    return points(spark, sf, "x", "y", *columns, p=p).where(finite(F.col("x")) & finite(F.col("y")))
 
 
 def tiles(df: DataFrame) -> DataFrame:
@@ -53,8 +55,8 @@ def b1_snr(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tile_id", "split", *six("b11_snr"), "b12_class")
 
 
-def _tails(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf, "mean_velocity")
+def _tails(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
+    p = points(spark, sf, "mean_velocity", p=p)
     v = {"v": F.col("mean_velocity"), "a": F.abs("mean_velocity")}
     return tiles(p).join(stats.percentiles(p, ["tile_id"], v, [0.1, 0.9]), "tile_id", "left")
 
@@ -66,8 +68,8 @@ def b2_mean_band(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tile_id", "split", *six("b21_mean_velocity"), band.alias("b22_band"))
 
 
-def b3_tails(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tails(spark, sf)
+def b3_tails(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
+    t = _tails(spark, sf, p)
     a = F.col("a_p90").cast("float")
     steps = [F.lit(q).cast("float") for q in SIGNIFICANCE[0]]
     out = t.select(
@@ -83,14 +85,14 @@ def b3_tails(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tile_id", "split", *six("b31_p10", "b32_p90", "b33_abs_p90"), "b34_direction", "b35_significance", "b36_typicality")
 
 
-def b4_acceleration(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf, "acceleration")
+def b4_acceleration(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
+    p = points(spark, sf, "acceleration", p=p)
     out = tiles(p).join(stats.percentiles(p, ["tile_id"], {"a": F.abs("acceleration")}, [0.9]), "tile_id", "left")
     return out.select("tile_id", "split", F.round("a_p90", 6).alias("b41_abs_p90"), classify.at_most(F.round("a_p90", 9), *TYPICAL_ACCELERATION).alias("b42_typicality"))
 
 
-def b5_seasonality(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf, "seasonality")
+def b5_seasonality(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
+    p = points(spark, sf, "seasonality", p=p)
     out = tiles(p).join(stats.percentiles(p, ["tile_id"], {"s": F.col("seasonality")}, [0.9]), "tile_id", "left")
     return out.select("tile_id", "split", F.round("s_p90", 6).alias("b51_p90"))
 
@@ -102,8 +104,8 @@ def a3_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tile_id", "split", *six("a31_fraction"), kind.alias("a32_class"))
 
 
-def a4_noise(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf, "rmse")
+def a4_noise(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
+    p = points(spark, sf, "rmse", p=p)
     out = tiles(p).join(stats.percentiles(p, ["tile_id"], {"r": F.col("rmse")}, [0.5]), "tile_id", "left")
     return out.select("tile_id", "split", F.round("r_p50", 6).alias("a41_median"), F.coalesce(classify.below(F.round("r_p50", 9), *NOISE), F.lit("unknown")).alias("a42_class"))
 
@@ -114,9 +116,9 @@ def _calibrated(out: DataFrame, value: str, qs: tuple[float, ...], ladder) -> Da
     return out.join(F.broadcast(borders)).withColumn("kind", ladder([F.col(f"{value}_{stats.tag(q)}") for q in qs]))
 
 
-def c1_moving_extent(spark: SparkSession, sf: str) -> DataFrame:
+def c1_moving_extent(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
     snr = F.abs("mean_velocity") / (F.col("rmse") + 1e-12)
-    out = points(spark, sf, "mean_velocity", "rmse").groupBy("tile_id").agg(F.max("split").alias("split"), F.avg(F.when(snr >= 1, 1.0).otherwise(0.0)).alias("c11"))
+    out = points(spark, sf, "mean_velocity", "rmse", p=p).groupBy("tile_id").agg(F.max("split").alias("split"), F.avg(F.when(snr >= 1, 1.0).otherwise(0.0)).alias("c11"))
     out = _calibrated(out.withColumn("c11", F.round("c11", 9)), "c11", (0.1, 0.5, 0.9), lambda q: classify.at_most(F.col("c11"), q, EXTENT))
     return out.select("tile_id", "split", F.round("c11", 6).alias("c11_fraction"), F.col("kind").alias("c12_class"))
 
@@ -128,16 +130,16 @@ def c1_dominant_cell(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("tile_id", "split", F.coalesce(grid.cell_name(F.col("bin")), F.lit("none")).alias("c13_cell"))
 
 
-def _cells(spark: SparkSession, sf: str, value: Column) -> DataFrame:
+def _cells(spark: SparkSession, sf: str, value: Column, p: DataFrame | None = None) -> DataFrame:
     """Cells with enough points, centred on all points; a missing value leaves out its cell."""
-    b = grid.binned(placed(spark, sf, "mean_velocity"))
+    b = grid.binned(placed(spark, sf, "mean_velocity", p=p))
     cells = b.groupBy("tile_id", "bin").agg(F.count("*").alias("n"), F.count(value).alias("known"), F.avg(value).alias("v"))
     return cells.where((F.col("n") >= grid.SUPPORT) & (F.col("known") == F.col("n")))
 
 
-def c2_concentration(spark: SparkSession, sf: str) -> DataFrame:
-    g = stats.gini(_cells(spark, sf, F.abs("mean_velocity")), ["tile_id"], "v")
-    out = tiles(placed(spark, sf, "mean_velocity")).join(g, "tile_id", "left").select("tile_id", "split", F.round(F.coalesce("gini", F.lit(0.0)), 9).alias("c21"))
+def c2_concentration(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
+    g = stats.gini(_cells(spark, sf, F.abs("mean_velocity"), p), ["tile_id"], "v")
+    out = tiles(placed(spark, sf, "mean_velocity", p=p)).join(g, "tile_id", "left").select("tile_id", "split", F.round(F.coalesce("gini", F.lit(0.0)), 9).alias("c21"))
     out = _calibrated(out, "c21", (0.1, 0.5, 0.9), lambda q: classify.at_most(F.col("c21"), q, CONCENTRATION))
     return out.select("tile_id", "split", F.round("c21", 6).alias("c21_gini"), F.col("kind").alias("c22_class"))
 

@@ -136,3 +136,16 @@ def test_report_of_too_many_models_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(corpus_tasks, "table", lambda *_: spark.range(65).selectExpr("concat('m', id) AS model"))
     with pytest.raises(ValueError, match="64 models"):
         corpus_tasks.eval_report_pivot(spark, "")
+
+
+def test_assembly_of_many_tables_in_any_order(spark):
+    keys = [(f"t{i}", "train" if i % 2 else "val") for i in range(50)]
+    tables = {f"g{k}": spark.createDataFrame([(*key, float(i), f"class-{i}") for i, key in (list(enumerate(keys))[::-1] if k else list(enumerate(keys)))], f"tile_id string, split string, n{k} double, c{k} string") for k in range(24)}
+    out = keyed.assemble(tables)
+    assert len(out.columns) == 50 and out.count() == 50
+    assert all(r.n0 == r.n23 == float(r.tile_id[1:]) and r.c5 == f"class-{r.tile_id[1:]}" for r in out.collect())
+    for bad in (tables["g1"].limit(49), tables["g1"].union(tables["g1"].limit(1)), tables["g1"].withColumn("split", F.lit("test")), tables["g1"].withColumn("tile_id", F.when(F.col("tile_id") != "t3", F.col("tile_id")))):
+        with pytest.raises(Exception, match="do not share the key"):
+            keyed.assemble({"g0": tables["g0"], "g1": bad}).collect()
+    with pytest.raises(ValueError, match="several tables"):
+        keyed.assemble({"a": tables["g1"], "b": tables["g1"]})
