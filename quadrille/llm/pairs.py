@@ -48,8 +48,8 @@ HASHES, BAND = 64, 4
 CLOSED = 0.1
 #: Part of the letters of a question and its copy that stand in the same order where single words were misspelt.
 LETTERS = 0.92
-#: Class names that the workers are sent at most, and sentences whose language a worker remembers.
-CLASSES, REMEMBERED = 50_000, 200_000
+#: Class names that the workers are sent at most, and sentences (of some ten words) that a worker remembers.
+CLASSES, REMEMBERED = 50_000, 50_000
 
 #: Function words by language (fixed values) for those written in Latin letters; all others are told by script.
 FUNCTION_WORDS = {
@@ -87,9 +87,15 @@ _ENDS = re.compile(r"[.!?。！？]+[\"'”’»)\]]*\s+|[.!?。！？]+[\"'”
 _LABEL = re.compile(r"^\W*(?:[\w ]{1,24}):\s*")
 
 
+_LONGEST = max(map(len, PLACEHOLDERS))
+
+
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
+    # More letters than the longest placeholder has.
+    if sum(map(str.isalnum, text[:64])) > _LONGEST:
+        return False
     s = _INVISIBLE.sub(" ", text).strip().lower()
     s = _EDGES.sub("", s)
     return not s or s in PLACEHOLDERS or _INVISIBLE.sub(" ", s.replace("_", " ")) in PLACEHOLDERS
@@ -121,8 +127,18 @@ class Tongues(dict):
         self[words] = out = (kind, scores, int(scores.argmax()))
         return out
 
+    def __init__(self) -> None:
+        self.known: dict[tuple, bool] = {}
+
     def differ(self, question: tuple[str, ...], words: tuple[str, ...]) -> bool:
         """Whether the words are told to be in another language than the question."""
+        if (known := self.known.get((question, words))) is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            known = self.known[question, words] = self._differ(question, tuple(w for w in words if w[0].isalpha()))
+        return known
+
+    def _differ(self, question: tuple[str, ...], words: tuple[str, ...]) -> bool:
         asked_in, asked, tongue = self[question]
         told_in, told, best = self[words]
         if not asked_in or len("".join(words)) < 3:
@@ -236,13 +252,16 @@ def features(rows: DataFrame, topics: dict[str, str], labels: dict[str, list[str
     """What can be told of each field by itself. rows: record_id, task, question, answer_type, correct_answer, llm_output."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, tongues = Reader(topics, labels), Tongues()
+        reader, tongues, questions = Reader(topics, labels), Tongues(), {}
         for b in batches:
             out = []
             for rid, task, question, kind, *texts in b[["record_id", "task", "question", "answer_type", *FIELDS]].itertuples(index=False):
                 question = question or ""
-                asked = tuple(re.findall(r"[^\W\d_]+", _QUOTED.sub(" ", question.lower())))
-                numbers = set(_NUMBER.findall(question))
+                if question not in questions:
+                    if len(questions) >= REMEMBERED:
+                        questions.clear()
+                    questions[question] = tuple(re.findall(r"[^\W\d_]+", _QUOTED.sub(" ", question.lower()))), set(_NUMBER.findall(question))
+                asked, numbers = questions[question]
                 for field, text in zip(FIELDS, texts):
                     if is_empty(text):
                         out.append((rid, field, task, kind, "empty", [], 0, "", False, False, False, []))
@@ -253,7 +272,7 @@ def features(rows: DataFrame, topics: dict[str, str], labels: dict[str, list[str
                     defect = None
                     if not value and copies(question, text):
                         defect = "copies_question"
-                    elif any(tongues.differ(asked, tuple(w for w in words if w[0].isalpha())) for words, _ in sents):
+                    elif any(tongues.differ(asked, tuple(words)) for words, _ in sents):
                         defect = "other_language"
                     words, closed = sents[-1] if sents else ([], True)
                     bare = bool(words) and len(sents) == 1 and words[0] in ("#", "<l>") and all(w in UNITS for w in words[1:])
