@@ -268,6 +268,13 @@ def eval_value_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return r.where("gold is not null").groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg(ok.cast("int")), 6).alias("value_accuracy"), F.round(F.avg(F.col("pred").isNotNull().cast("int")), 6).alias("coverage"))
 
 
+def eval_missing_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the questions without a value, by task, whose answer says so."""
+    said = F.lower(F.coalesce("llm_output", F.lit(""))).rlike("|".join(answers.ABSENT))
+    r = _records(spark, sf).where("answer_type = 'missing' and task is not null")
+    return r.groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg(said.cast("int")), 6).alias("missing_accuracy"))
+
+
 def eval_report_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """Mean absolute error of every task, a column for each model."""
     models = [r[0] for r in table(spark, sf, "eval_records").where("model is not null").select("model").distinct().orderBy("model").limit(65).collect()]
@@ -387,7 +394,7 @@ QUERIES = {
     for f in (
         class_counts_by_split, crosstab_split_class, class_shares, describe_profile, moments, correlations, train_thresholds, calibrated_classes, strict_join_audit, key_difference,
         repeated_keys, manifest_scan, manifest_points, token_validation, labels_wide, labels_long, label_stats, s3_gap, question_rows, question_counts, rendered_answers,
-        eval_numeric_metrics, eval_report_pivot, eval_balanced_accuracy, eval_family_macro, extract_answers, eval_value_accuracy, sample_points, sample_weighted,
+        eval_numeric_metrics, eval_missing_accuracy, eval_report_pivot, eval_balanced_accuracy, eval_family_macro, extract_answers, eval_value_accuracy, sample_points, sample_weighted,
         sample_balanced, question_sample_capped, epoch_batches, s14_status, shards, rolling_mean, event_windows,
     )
 }
@@ -493,3 +500,5 @@ SELECT task, rendered_target_value, record_id FROM t WHERE turn <= 40 QUALIFY ro
     "rolling_mean": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean5 FROM events",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }
+ORACLE["eval_missing_accuracy"] = f"""WITH {_RECORDS} SELECT task, count(*) AS n, round(avg(CAST(regexp_matches(lower(coalesce(llm_output, '')), '{"|".join(answers.ABSENT)}') AS INTEGER)), 6) AS missing_accuracy
+FROM r WHERE answer_type = 'missing' AND task IS NOT NULL GROUP BY 1"""
